@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import simhash
-from tapeloom.llm.common import load
+from tapeloom.llm import chat, host_rules, secret_scan, simhash, toxicity
+from tapeloom.llm.common import held_out, load
+
+
+def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    learn = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.select("doc_id", "text").join(learn, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE_RULES]
+    of = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds),
+        F.sha2(secret_scan.joined(of(*kinds)), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +34,75 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+#: A conversation whose texts hold the template's own strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    return chat.read_back(chat.format_conversations(turns.unionByName(own)))
+
+
+OP9_SQL = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+steps as (
+  select *, lag(role, 1, 'start') over w as before, lead(role) over w is null as last
+  from turns window w as (partition by conv_id order by turn, role, text)),
+sized as (
+  select *, length(role) + length(text)
+    + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g'))
+    + length('### : ') + length('</turn>') + 1 as chars,
+    (before, role) in (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user'))
+    and (not last or role = 'assistant') as ok
+  from steps)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars, bool_and(ok) as valid
+from sized group by conv_id
+"""
+
+
+def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = host_rules.quality_rules(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP10_SQL = r"""
+with texts as (
+  select doc_id, source, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+line as (
+  select doc_id, l, count(*) as n
+  from (select doc_id, unnest(string_split(t, chr(10))) as l from texts) where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1, 2),
+dup_lines as (select doc_id, sum(n - 1)::bigint as n_dup_lines from line group by 1),
+windows as (
+  select doc_id, i, (w[i], w[i + 1], w[i + 2]) as g
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from texts)),
+repeated as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+covered as (
+  select doc_id, count(distinct p)::bigint as n_repeat_words
+  from (select doc_id, unnest([i, i + 1, i + 2]) as p from repeated) group by 1),
+rules as (
+  select doc_id, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from texts left join dup_lines using (doc_id) left join covered using (doc_id)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from rules),
+hosts as (select source, count(*) as n, count(*) filter (base_failed) as f from failed group by 1),
+prior as (select avg(f / n) as m, var_pop(f / n) as v from hosts),
+drawn as (
+  select source, case when v > 0 and m * (1 - m) / v - 1 > 0
+    then (f + m * (m * (1 - m) / v - 1)) / (n + m * (1 - m) / v - 1) else m end as rate
+  from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rate <= 0.5 as kept
+from failed join drawn on failed.source is not distinct from drawn.source
+"""
+
+QUERIES = {f.__name__: f for f in (op2_toxicity_mil, op4_secret_scan, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
