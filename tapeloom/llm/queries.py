@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, host_rules, secret_scan, simhash, toxicity
+from tapeloom.llm import chat, host_rules, packing, quality, secret_scan, simhash, toxicity, url_rules
 from tapeloom.llm.common import held_out, load
 
 
@@ -17,6 +17,16 @@ def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE_RULES]
@@ -29,6 +39,43 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.decide_urls(load(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The tables' pages hold no canonical links or refreshes (tests have some), so a component here is a
+#: normal form.
+OP5_SQL = r"""
+with parsed as (
+  select page_id, coalesce(instr(url, '://') > 0, false) as real,
+    case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+split as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) as query, real from parsed),
+urls as (
+  select *, case when real then host || regexp_replace(path, '/$', '') || case when kept <> '' then '?' || kept else '' end end as node
+  from (select *, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]*|ref|fbclid|gclid)(=|$)')), '&') as kept from split)),
+ruled as (
+  select *, case
+    when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from urls),
+verdicts as (select *, case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block' end as own from ruled),
+told as (select node, bool_or(own = 'allow') as allow from verdicts where own is not null and node is not null group by 1)
+select page_id, host, path, rule, coalesce(own, case when coalesce(allow, true) then 'allow' else 'block' end) as verdict
+from verdicts left join told using (node)
+"""
+
+
+def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    learn = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    machine = quality.train(docs.select("doc_id", "text", "n_chars").join(learn, "doc_id"))
+    scored = quality.score(docs.select("doc_id", "text", "n_chars"), machine)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -104,5 +151,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed join drawn on failed.source is not distinct from drawn.source
 """
 
-QUERIES = {f.__name__: f for f in (op2_toxicity_mil, op4_secret_scan, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
