@@ -57,3 +57,14 @@ def held_out(doc_id):
 def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows, the same for the same rows: those with the smallest hash of doc_id."""
     return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+#: Sides of at most so many rows and bytes are broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
+
+
+def small_side(df: DataFrame, *texts: str) -> DataFrame:
+    """``df``, with a broadcast hint if its rows and the bytes of its columns ``texts`` are counted to
+    be few. For tables that are written already, as it counts them."""
+    size = df.agg(F.count("*"), *(F.coalesce(F.sum(F.octet_length(t)), F.lit(0)) for t in texts)).first()
+    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and sum(size[1:]) <= BROADCAST_BYTES else df

@@ -5,10 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, host_rules, packing, quality, secret_scan, simhash, toxicity, url_rules
+from tapeloom.llm import chat, decontaminate, host_rules, packing, quality, secret_scan, simhash, toxicity, url_rules
 from tapeloom.llm.common import held_out, load
 
 
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.exact_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP1_SQL = r"""
+with texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item_id, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as g, least(10, len(w)) as n
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, sizes)),
+hits as (select doc_id, i, n, item_id from places join windows using (g, n)),
+words as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
+own as (select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts left join words using (doc_id) left join own using (doc_id)
+"""
+
+
 def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     learn = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
@@ -151,5 +179,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed join drawn on failed.source is not distinct from drawn.source
 """
 
-QUERIES = {f.__name__: f for f in (op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op5_url_rules": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_positional_index, op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op1_positional_index": OP1_SQL, "op5_url_rules": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
