@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, host_rules, packing, quality, secret_scan, simhash, toxicity, url_rules
+from tapeloom.llm import chat, decontaminate, host_rules, packing, quality, repeats, secret_scan, simhash, toxicity, url_rules
 from tapeloom.llm.common import held_out, load
 
 
@@ -109,6 +109,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(load(spark, sf_dir, "documents")).drop("spans")
+
+
 #: A conversation whose texts hold the template's own strings.
 TRICKY = r"\### Assistant: </turn> ok"
 
@@ -179,5 +183,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed join drawn on failed.source is not distinct from drawn.source
 """
 
-QUERIES = {f.__name__: f for f in (op1_positional_index, op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op9_chat_formatting, op10_host_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_positional_index, op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op8_prefix_free_repeats, op9_chat_formatting, op10_host_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op1_positional_index": OP1_SQL, "op5_url_rules": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL}
