@@ -54,6 +54,19 @@ def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % HELD_OUT_FOLDS == 0
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, chars: int) -> DataFrame:
+    """Rows of ``docs`` with their ``label``, for at most ``limit`` of the documents in ``labels``
+    (doc_id, label) and texts of at most ``chars`` characters.
+
+    The same labels give the same sample: those with the smallest hash of doc_id. Only ids are
+    sorted, and the few chosen go to the documents. Null labels are left out; of a repeated doc_id
+    one row counts.
+    """
+    usable = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
+    ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.join(F.broadcast(ids), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= chars).dropDuplicates(["doc_id"]).orderBy("doc_id")
+
+
 def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` rows, the same for the same rows: those with the smallest hash of doc_id."""
     return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import bounded_sample
+from tapeloom.llm.common import labelled_sample
 
 #: The model is fitted on so many labelled rows at most, with texts of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 100_000
@@ -133,11 +133,10 @@ def fit(rows: list[tuple[str, int | None, int]]) -> Machine:
     return m
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Machine:
-    """A machine from (doc_id, text, n_chars, label), of which a bounded sample comes to the driver.
-    Rows with a null label are left out."""
-    usable = labelled.filter("label is not null").filter(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    rows = bounded_sample(usable.select("doc_id", "text", "n_chars", F.col("label").cast("int").alias("label")), sample_rows).collect()
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Machine:
+    """A machine from the rows of ``docs`` (doc_id, text, n_chars) that ``labels`` (doc_id, label)
+    names; a bounded sample of them comes to the driver."""
+    rows = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, sample_rows, sample_chars).collect()
     return fit([(r.text or "", r.n_chars, r.label) for r in rows])
 
 

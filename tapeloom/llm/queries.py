@@ -99,7 +99,7 @@ from verdicts left join told using (node)
 def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     learn = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    machine = quality.train(docs.select("doc_id", "text", "n_chars").join(learn, "doc_id"))
+    machine = quality.train(docs, learn)
     scored = quality.score(docs.select("doc_id", "text", "n_chars"), machine)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
