@@ -67,11 +67,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, chars: int)
     return docs.join(F.broadcast(ids), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= chars).dropDuplicates(["doc_id"]).orderBy("doc_id")
 
 
-def bounded_sample(labelled: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows, the same for the same rows: those with the smallest hash of doc_id."""
-    return labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-
-
 #: Sides of at most so many rows and bytes are broadcast; larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
 

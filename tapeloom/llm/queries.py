@@ -40,7 +40,7 @@ from texts left join words using (doc_id) left join own using (doc_id)
 def op2_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     learn = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.train(docs.select("doc_id", "text").join(learn, "doc_id"))
+    model = toxicity.train(docs, learn)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "sentences")
 

@@ -8,6 +8,7 @@ labels through the noisy-or, on a bounded sample, and then find the sentences th
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import bounded_sample
+from tapeloom.llm.common import labelled_sample
 
 #: The model is fitted on so many labelled rows at most, with texts of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 100_000
@@ -76,25 +77,24 @@ def fit(texts: list[str], labels: list[int]) -> SentenceModel:
     of toxic texts."""
     if not texts or len(set(labels)) < 2:
         return SentenceModel({}, fitted=False)
-    docs = [[set(_WORD.findall(s.lower())) for s in _SENTENCE.findall(t or "")] for t in texts]
-    seen, toxic = Counter(), Counter()
-    for d, label in zip(docs, labels):
-        own = {f for w in set().union(*d) for f in features(w)}
-        seen.update(own)
+    # Texts are taken apart anew each time: their words, as Python strings, are many times their size.
+    split = lambda t: [set(_WORD.findall(x.lower())) for x in _SENTENCE.findall(t or "")]
+    toxic: Counter = Counter()
+    for t, label in zip(texts, labels):
         if label:
-            toxic.update(own)
+            toxic.update({f for w in set().union(*split(t)) for f in features(w)})
+    toxic = Counter({f: n for f, n in toxic.items() if n >= LEAST_TOXIC})
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update({f for w in set().union(*split(t)) for f in features(w) if f in toxic})
     base = sum(labels) / len(labels)
-    vocab = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= LEAST_TOXIC and n >= LEAST_LIFT * base * seen[f]))}
-    of_word: dict[str, list[int]] = {}
-    word, sentence, doc, s = [], [], [], 0
-    for d, sentences in enumerate(docs):
-        for words in sentences:
-            for x in words:
-                if x not in of_word:
-                    of_word[x] = [vocab[f] for f in features(x) if f in vocab]
-            own = {i for x in words for i in of_word[x]}
-            word += own
-            sentence += [s] * len(own)
+    vocab = {f: i for i, f in enumerate(sorted(f for f, n in toxic.items() if n >= LEAST_LIFT * base * seen[f]))}
+    word, sentence, doc, s = array("l"), array("l"), array("l"), 0
+    for d, t in enumerate(texts):
+        for words in split(t):
+            own = {vocab[f] for x in words for f in features(x) if f in vocab}
+            word.extend(own)
+            sentence.extend([s] * len(own))
             doc.append(d)
             s += 1
     word, sentence, doc = np.array(word, np.int64), np.array(sentence, np.int64), np.array(doc, np.int64)
@@ -114,11 +114,10 @@ def fit(texts: list[str], labels: list[int]) -> SentenceModel:
     return SentenceModel({x: float(w[i]) for x, i in vocab.items() if keep[i]}, float(b))
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> SentenceModel:
-    """A model from (doc_id, text, label), of which a bounded sample comes to the driver. Rows with a
-    null label are left out."""
-    usable = labelled.filter("label is not null").filter(F.length(F.coalesce("text", F.lit(""))) <= sample_chars)
-    rows = bounded_sample(usable.select("doc_id", "text", F.col("label").cast("int").alias("label")), sample_rows).collect()
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> SentenceModel:
+    """A model from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, label) names; a bounded
+    sample of them comes to the driver."""
+    rows = labelled_sample(docs.select("doc_id", "text"), labels, sample_rows, sample_chars).collect()
     return fit([r.text or "" for r in rows], [r.label for r in rows])
 
 
