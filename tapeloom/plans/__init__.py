@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from tapeloom.plans import market
+    from tapeloom.plans import market, studies
 
-    return (market,)
+    return (market, studies)
 
 
 def queries() -> dict:
