@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.llm.common import labelled_sample
 
@@ -80,7 +80,7 @@ class Machine:
     def inputs(self, text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         own = self.words.buckets(text)
         bins = [BUCKETS + BINS * k + int(np.searchsorted(e, x, side="right")) for k, (e, x) in enumerate(zip(self.edges, statistics(text, n_chars)))]
-        return np.array(own + bins), np.array([1 / math.sqrt(len(own))] * len(own) + [1.0] * len(bins), np.float32)
+        return np.array(own + bins), np.array([1 / math.sqrt(max(len(own), 1))] * len(own) + [1.0] * len(bins), np.float32)
 
     def score(self, text: str | None, n_chars: int | None) -> float:
         if self.edges is None:
@@ -140,25 +140,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     return fit([(r.text or "", r.n_chars, r.label) for r in rows])
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` (text, n_chars and any others but ``score``) with a double ``score`` from 0 to 1,
-    higher for better texts.
+def score(docs: DataFrame, machine: Machine, output: str = "score") -> DataFrame:
+    """``docs`` (text, n_chars and any others) with a double ``output`` from 0 to 1, higher for better
+    texts; a column of that name is replaced.
 
     Whole texts are scored. A null text counts as empty, a null n_chars as the text's length; rows
     and other columns stay as they are.
     """
     kept = docs.sparkSession.sparkContext.broadcast(machine.state())  # of fixed size: BUCKETS x (RANK + 1)
+    docs = docs.drop(output)
     names = docs.columns
     at, length = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    schema = docs.drop("score").schema.add("score", "double")
-    if "score" in names:
-        raise ValueError("the column score is in use")
+    schema = T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Machine(*kept.value)
         for b in batches:
             n = b.column(length).to_pylist() if length is not None else [None] * b.num_rows
             scores = [own.score(t, c) for t, c in zip(b.column(at).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, output])
 
     return docs.mapInArrow(run, schema)
