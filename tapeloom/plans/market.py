@@ -9,6 +9,7 @@ from tapeloom.operators import asof as asofs
 from tapeloom.operators import batches as B
 from tapeloom.operators import book, flow, quality
 from tapeloom.operators import tasks as T
+from tapeloom.operators import worlds as W
 from tapeloom.sources.tape import TAPE_SQL, load, tape
 
 #: The test tables' events lie minutes apart, so their windows are hours.
@@ -16,13 +17,33 @@ HOUR = 3_600_000_000_000
 MARKOUTS, MAX_AGE = [60_000_000_000, 600_000_000_000, HOUR], HOUR // 2
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder: for tables that one query reads many times. A cluster
+    names the folder in spark.checkpoint.dir; one machine without it gets a temporary one."""
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        import tempfile
+
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
+        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 class Market:
-    """The tables that a session's records give, each built from the one before."""
+    """The tables that a session's records give, each built from the one before. With ``settle`` those
+    that are read often are written once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False):
         self.spark, self.records = spark, tape(spark, sf_dir)
-        self.numbered = B.number_batches(self.records)
-        self.batches = B.assemble(self.numbered)
+        keep = _settled if settle else lambda df: df
+        self.numbered = keep(B.number_batches(self.records))
+        self.batches = keep(B.assemble(self.numbered))
+        self.keep, self.made = keep, {}
+
+    def _once(self, name: str, build) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.keep(build())
+        return self.made[name]
 
     @property
     def epochs(self) -> DataFrame:
@@ -30,23 +51,27 @@ class Market:
 
     @property
     def states(self) -> DataFrame:
-        return book.order_state(self.epochs)
+        return self._once("states", lambda: book.order_state(self.epochs))
+
+    @property
+    def intervals(self) -> DataFrame:
+        return self._once("intervals", lambda: book.order_intervals(self.states, self.epochs))
 
     @property
     def resting(self) -> DataFrame:
-        return book.resting_at(book.order_intervals(self.states, self.epochs), self.batches)
+        return book.resting_at(self.intervals, self.batches)
 
     @property
     def quotes(self) -> DataFrame:
-        return book.best_quotes(self.batches, book.level_depth(self.resting))
+        return self._once("quotes", lambda: book.best_quotes(self.batches, book.level_depth(self.resting)))
 
     @property
     def evidence(self) -> DataFrame:
-        return B.execution_groups(self.numbered, self.batches)
+        return self._once("evidence", lambda: B.execution_groups(self.numbered, self.batches))
 
     @property
     def judged(self) -> DataFrame:
-        return quality.judged_batches(self.batches, self.states.filter("anomaly is not null"), self.evidence)
+        return self._once("judged", lambda: quality.judged_batches(self.batches, self.states.filter("anomaly is not null"), self.evidence))
 
     @property
     def mids(self) -> DataFrame:
@@ -132,6 +157,27 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.overlapping_windows(windows)
 
 
+def _worlds(m: Market) -> DataFrame:
+    """Every arrival's two tasks under each policy, in the primary and the slowest scenario."""
+    tasks = m.grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "session_id", "side", "arrival_ns", "deadline_ns")
+    times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
+    quotes = m.quotes.join(times, ["session_id", "batch_id"])
+    pick = lambda t, *more: quotes.select("session_id", F.col(t).alias("t"), F.col("batch_id").alias("seq"), "bid_price", "ask_price", *more)
+    intervals = m.intervals
+    resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
+    fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
+    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"))
+
+
+def _outcomes(m: Market) -> DataFrame:
+    """Costs against the market's mid at arrival, with quality verdicts."""
+    at = asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumnRenamed("mid2", "m0_mid2").drop("sample_time")
+    end = asofs.asof(at, m.mids, ["session_id"], "deadline_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A"))))
+    named = end.select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "m0_mid2", F.col("mid2").alias("m_t_mid2"))
+    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null")
+    return W.outcomes(_worlds(m), named.select("task_id", "m0_mid2"), verdicts, named.select("task_id", "m_t_mid2"))
+
+
 QUERIES = {
     "batch_assembly": lambda s, d: Market(s, d).batches.select("session_id", "batch_id", "n_records", "proxy_time_ns", "capture_time_ns", "kind"),
     "batch_quality_flags": lambda s, d: Market(s, d).batches.groupBy("kind", "quality_flags").agg(F.count("*").alias("n_batches"), F.sum("n_records").alias("n_records")),
@@ -152,13 +198,15 @@ QUERIES = {
     "trailing_flow": lambda s, d: flow.trailing_flow(_flows(Market(s, d)), HOUR),
     "mid_vol_change": lambda s, d: (lambda x: flow.mid_moves(x.filter("mid2 is not null").select("session_id", "batch_id", "obs_ns", "mid2"), 5 * HOUR, HOUR).withColumn("mid_vol", F.round("mid_vol", 9)))(Market(s, d).live_quotes),
     "quote_age": lambda s, d: flow.quote_age(Market(s, d).live_quotes).withColumn("quote_age_ms", F.round("quote_age_ms", 6)),
-    "quality_intervals": lambda s, d: quality.invalid_intervals(Market(s, d).judged),
-    "unevaluable_tasks": lambda s, d: (lambda m: quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged))(Market(s, d)),
+    "quality_intervals": lambda s, d: quality.invalid_intervals(Market(s, d, settle=True).judged),
+    "unevaluable_tasks": lambda s, d: (lambda m: quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged))(Market(s, d, settle=True)),
     "arrival_grid": lambda s, d: Market(s, d).grid,
-    "task_manifest": lambda s, d: (lambda m: T.task_manifest(m.grid, m.mids, m.client_mids))(Market(s, d)),
+    "task_manifest": lambda s, d: (lambda m: T.task_manifest(m.grid, m.mids, m.client_mids))(Market(s, d, settle=True)),
     "price_labels": lambda s, d: (lambda m: T.price_labels(m.grid, m.mids, HOUR // 2))(Market(s, d)),
-    "markouts": lambda s, d: _markouts(Market(s, d)),
-    "markout_summary": lambda s, d: T.summarize_markouts(_markouts(Market(s, d)), ["side", "horizon_ns"]).withColumns({"mean_markout_ticks": F.round("mean_markout_ticks", 9), "median_markout_ticks": F.round("median_markout_ticks", 9)}),
+    "markouts": lambda s, d: _markouts(Market(s, d, settle=True)),
+    "worlds": lambda s, d: _worlds(Market(s, d, settle=True)),
+    "world_outcomes": lambda s, d: _outcomes(Market(s, d, settle=True)),
+    "markout_summary": lambda s, d: T.summarize_markouts(_markouts(Market(s, d, settle=True)), ["side", "horizon_ns"]).withColumns({"mean_markout_ticks": F.round("mean_markout_ticks", 9), "median_markout_ticks": F.round("median_markout_ticks", 9)}),
 }
 
 _FLOW = """flows as (
@@ -213,6 +261,17 @@ ORACLE_SQL = {
     "price_labels": f"""{GRID}, now as (select g.*, l.mid2 as mid_now from grid g {_last('mids', 'g', 'g.arrival_ns')}), later as (select g.*, l.mid2 from now g {_last('mids', 'g', f'g.arrival_ns + {HOUR // 2}')})
       select session_id, k, case when arrival_ns + {HOUR // 2} <= (select max(t) from mids m where m.session_id = later.session_id) then sign(mid2 - mid_now) end::int as label from later""",
     "markouts": f"{MARKOUT_SQL} select * from markouts",
+    "worlds": f"{GRID}, {B.EVIDENCE_SQL}, {W.WORLDS_SQL} select * from worlds",
+    "world_outcomes": f"""{GRID}, {B.EVIDENCE_SQL}, {quality.QUALITY_SQL}, {W.WORLDS_SQL},
+      priced as (
+        select w.*, case when side = 'B' then 1 else -1 end as s, coalesce(exec_ns <= deadline_ns, false) as done, a.mid2 as m0, z.mid2 as mt, {UNEVALUABLE.format(w='w', lo='w.arrival_ns', hi='w.deadline_ns')} as bad_reason
+        from worlds w left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.arrival_ns and m.mid2 is not null order by t desc, seq desc limit 1) a on true
+          left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.deadline_ns and m.mid2 is not null order by t desc, seq desc limit 1) z on true),
+      judged2 as (select *, case when bad_reason is not null or reset then 'TECHNICALLY_UNEVALUABLE' when done then 'COMPLETED_ON_TIME' else 'DEADLINE_MISS' end as status from priced)
+      select task_id, policy_id, scenario_id, status, checkpoint_eligible, case when done then exec_ns end as completion_ns, case when done then exec_price end as price_fixed, case when done then mechanism end as mechanism,
+        case when status = 'COMPLETED_ON_TIME' then s * (2 * exec_price - m0) / 500000000.0 end::double as is_ticks,
+        case when status <> 'TECHNICALLY_UNEVALUABLE' then case when done then s * (2 * exec_price - m0) / 500000000.0 else s * (mt - m0) / 500000000.0 end end::double as deadline_cost_ticks,
+        coalesce(bad_reason, case when reset then 'OVERLAY_TECHNICAL_RESET' end) as reason from judged2""",
     "markout_summary": f"""{MARKOUT_SQL} select side, horizon_ns, count(*)::bigint as n_completed, count(markout_ticks)::bigint as n_defined, count(*) filter (markout_ticks is null)::bigint as n_missing,
       count(distinct session_id)::bigint as n_sessions, round(avg(markout_ticks), 9) as mean_markout_ticks, round(median(markout_ticks), 9) as median_markout_ticks from markouts group by 1, 2""",
 }

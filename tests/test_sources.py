@@ -23,7 +23,7 @@ def test_synthetic_tape_is_seeded_and_clean(spark):
     assert a.exceptAll(b).count() == 0 and a.count() > 2000
     assert a.exceptAll(synthetic(spark, sessions=2, seconds=20, seed=4)).count() > 0
     market = Market.__new__(Market)
-    market.spark, market.records = spark, a
+    market.spark, market.records, market.keep, market.made = spark, a, lambda df: df, {}
     market.numbered = B.number_batches(a)
     market.batches = B.assemble(market.numbered)
     assert market.states.filter("anomaly is not null").count() == 0
