@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from tapeloom.plans import market, studies
+    from tapeloom.plans import learning, market, studies
 
-    return (market, studies)
+    return (market, studies, learning)
 
 
 def queries() -> dict:

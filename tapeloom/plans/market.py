@@ -169,12 +169,12 @@ def _worlds(m: Market) -> DataFrame:
     return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"))
 
 
-def _outcomes(m: Market) -> DataFrame:
-    """Costs against the market's mid at arrival, with quality verdicts."""
+def _outcomes(m: Market, judge: bool = True) -> DataFrame:
+    """Costs against the market's mid at arrival, with quality verdicts if asked for."""
     at = asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumnRenamed("mid2", "m0_mid2").drop("sample_time")
     end = asofs.asof(at, m.mids, ["session_id"], "deadline_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A"))))
     named = end.select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "m0_mid2", F.col("mid2").alias("m_t_mid2"))
-    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null")
+    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null") if judge else _tasks(m).limit(0).withColumn("reason", F.lit("")).select("session_id", "arrival_ns", "deadline_ns", "reason")
     return W.outcomes(_worlds(m), named.select("task_id", "m0_mid2"), verdicts, named.select("task_id", "m_t_mid2"))
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from tapeloom import plans
+from tapeloom.plans import learning
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,10 +26,10 @@ def rows(df: pd.DataFrame):
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == set(learning.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_duckdb(spark, duck, name):
     got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
