@@ -45,12 +45,13 @@ def _opposite(side: Column, bid: str, ask: str) -> Column:
     return F.when(side == "B", F.col(ask)).otherwise(F.col(bid))
 
 
-def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: DataFrame, fills: DataFrame, resets: DataFrame, scenarios=tuple(LATENCY), policies=POLICIES) -> DataFrame:
+def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: DataFrame, fills: DataFrame, resets: DataFrame, scenarios=tuple(LATENCY), policies=POLICIES, keep=lambda df: df) -> DataFrame:
     """One row for each task (task_id, session_id, side B or A, arrival_ns, deadline_ns), policy and
     scenario: limit, checkpoint_eligible, switched, exec_ns, exec_price, mechanism, reset.
 
     ``market`` and ``client`` are quotes (session_id, t, seq, bid_price, ask_price; market also
-    last_ordinal) by batch time and by delivery; ``resets`` are (session_id, t, ordinal).
+    last_ordinal) by batch time and by delivery; ``resets`` are (session_id, t, ordinal). ``keep`` may
+    write what several steps read, such as a checkpoint.
     """
     spec = [(s, LATENCY[s][0] * 1000, (LATENCY[s][1] + LATENCY[s][2]) * 1000, LATENCY[s][3] * 1000, guard_ns(*LATENCY[s][1:])) for s in scenarios]
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"), F.lit(d).cast("long").alias("d"), F.lit(ce).cast("long").alias("ce"), F.lit(r).cast("long").alias("r"), F.lit(g).cast("long").alias("g")) for s, d, ce, r, g in spec for p in policies)))
@@ -66,10 +67,11 @@ def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: Da
     opposite = _opposite(F.col("side"), "bid_price", "ask_price")
     marketable = F.coalesce(F.col("limit").isNotNull() & F.when(F.col("side") == "B", F.col("limit") >= opposite).otherwise(F.col("limit") <= opposite), F.lit(False))
     w = w.withColumns({"marketable": marketable, "x0_price": opposite}).withColumn("working", F.col("limit").isNotNull() & ~F.col("marketable"))
+    w = keep(w)
     # Orders ahead at our level when we arrive; the last of them leaves at clear_ordinal.
     ours = w.filter("working and last_ordinal is not null").select(*KEY, "session_id", F.col("side").alias("w_side"), "limit", "last_ordinal")
     ahead = points_in_intervals(ours, stints(intervals), ["session_id"], "last_ordinal", "ord_from", "ord_to", BUCKET).filter("side = w_side and price_fixed = limit")
-    w = w.join(ahead.groupBy(*KEY).agg(F.max("ord_to").alias("clear_ordinal")), KEY, "left")
+    w = keep(w.join(ahead.groupBy(*KEY).agg(F.max("ord_to").alias("clear_ordinal")), KEY, "left"))
     # Without a fill, the controller starts at the cutoff or, if the order is known to work, at the checkpoint.
     known = F.col("x0") + F.col("r")
 

@@ -166,7 +166,7 @@ def _worlds(m: Market) -> DataFrame:
     intervals = m.intervals
     resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
     fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
-    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"))
+    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"), keep=m.keep)
 
 
 def _outcomes(m: Market, judge: bool = True) -> DataFrame:
