@@ -22,12 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Lets Spark delete a query's shuffle files when the query ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs nothing that was already written."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor costs nothing that was already written. What it shuffled is deleted at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows and bytes of a batch of texts that goes to a Python worker, so that a worker's memory stays
+#: far below an executor's.
+TEXT_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends small batches to Python from now on, unless the user chose a size."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in TEXT_BATCH.items():
+        if conf.get(name, default) in (default, "64MB"):
+            conf.set(name, ours)
+    return df
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Repeated byte strings of a corpus, by prefix-free parsing.
 
-A rolling hash marks triggers: in each stretch of LENGTH bytes the trigger is the byte gram with the
-least hash, the first of equals. So a string has its trigger at the same place wherever it stands,
-texts are parsed into phrases that overlap by what a string needs, and no phrase is cut differently in
-a copy. Strings with one trigger form a phrase; equal phrases are one entry of the dictionary and have
-all their strings in common, so copies cost one entry however often they come. Only where different
-phrases of the dictionary share the bytes that all their strings hold, their strings are put in order
-by hash and compared one by one. Every step is a grouped count or an equi-join over hashes; no text
-is compared with another.
+A rolling hash marks triggers: in each string of LENGTH bytes the trigger is the gram of GRAM bytes with
+the least hash, the first of equals. So a string has its trigger at the same place wherever it stands,
+and texts are parsed into phrases that are cut alike in every copy: the strings of one trigger form a
+phrase, and phrases overlap by what a string needs. Equal phrases are one entry of the dictionary and
+have all their strings in common, so copies cost one entry however often they come.
+
+Three levels find the strings that come twice. Phrases with equal triggers meet; where all of them are
+equal, all their strings repeat, and a phrase that meets none has none. Of the dictionary's entries that
+meet, blocks of BLOCK strings meet by the bytes that all strings of the block hold; again equal blocks
+repeat and lone ones do not. Only the strings of the blocks that are left are compared one by one. Every
+level is a grouped count and an equi-join over hashes; no text is compared with another.
 """
 
 from __future__ import annotations
@@ -21,64 +24,64 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import as_signed, cut, small_side
+from tapeloom.llm.common import as_signed, cut, small_side, text_batches
 
-LENGTH, GRAM = 200, 8
+LENGTH, GRAM, BLOCK = 200, 48, 16
 #: Texts are parsed in buffers of about so many bytes, one text at least.
 BUFFER = 2 << 20
 
+_P1, _P2, _P3, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
-def _rolling(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM = 8 bytes from each place on: the grams as numbers, multiplied and folded."""
+
+def rolling(data: np.ndarray) -> np.ndarray:
+    """A polynomial hash of the GRAM = 48 bytes from each place on, by doubling: 8, 16, 32, 48 bytes."""
     x = data.astype(np.uint64)
     for k in (1, 2, 4):
         x = x[:-k] | x[k:] << np.uint64(8 * k)
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(29)
+    x16 = x[:-8] * _P1 + x[8:]
+    x32 = x16[:-16] * _P2 + x16[16:]
+    x = x32[: len(data) - GRAM + 1] * _P3 + x16[32:]
+    x ^= x >> np.uint64(29)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
 
 
-def triggers(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+def triggers(grams: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each place where a string of ``length`` bytes starts, the place of its trigger."""
-    grams = length - GRAM + 1
-    x = _rolling(data)
-    x = (x & np.uint64(0xFFFFFFFF)) << np.uint64(32) | np.arange(len(x), dtype=np.uint64)
+    need = length - GRAM + 1
+    x = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
     width = 1
-    while 2 * width <= grams:
+    while 2 * width <= need:
         x = np.minimum(x[:-width], x[width:])
         width *= 2
-    if grams > width:
-        x = np.minimum(x[: len(x) - (grams - width)], x[grams - width :])
+    if need > width:
+        x = np.minimum(x[: len(x) - (need - width)], x[need - width :])
     return (x & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def phrases(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text's number, first start, last start, core hash, phrase hash) of the phrases of texts.
-
-    A phrase is a run of starts with one trigger, on one side of it: strings that start at most half
-    a length before their trigger hold the half length that follows it, others the half before it.
-    The core is that half.
-    """
-    half, n = length // 2, len(texts)
-    data = b"".join(texts)
+def phrases(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...] | None:
+    """(text's number, trigger, first start, last start, gram hash, phrase hash) of the phrases of texts,
+    as arrays; places count from their text's begin."""
+    data, n = b"".join(texts), len(texts)
     if len(data) < length:
-        return
-    ends = np.cumsum([len(t) for t in texts])
-    at = triggers(np.frombuffer(data, np.uint8), length)
+        return None
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    grams = rolling(np.frombuffer(data, np.uint8))
+    at = triggers(grams, length)
     start = np.arange(len(at))
-    text = np.searchsorted(ends, start, side="right")
-    start = start[start + length <= ends[np.minimum(text, n - 1)]]
+    text = np.minimum(np.searchsorted(ends, start, side="right"), n - 1)
+    start = start[start + length <= ends[text]]
     if not len(start):
-        return
+        return None
     at, text = at[start], text[start]
-    before = start < at - (half - GRAM)
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) != 1) | (before[1:] != before[:-1]) | (np.diff(text) != 0)]))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(text) != 0)]))
     last = np.append(new[1:], len(start)) - 1
-    begins = (ends - [len(t) for t in texts])[text[new]].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    rows = zip(text[new].tolist(), begins, start[new].tolist(), start[last].tolist(), at[new].tolist(), before[new].tolist())
-    for t, base, lo, hi, a, b in rows:
-        core = digest(data[a - half + GRAM - 1 : a + GRAM], 1) if b else digest(data[a : a + half + GRAM], 2)
-        yield t, lo - base, hi - base, core, digest(data[lo : hi + length], 3)
+    lo, hi, digest = start[new], start[last], xxhash.xxh3_64_intdigest
+    whole = np.array([digest(data[s : e + length]) for s, e in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
+    base = (ends - sizes)[text[new]]
+    return text[new], at[new] - base, lo - base, hi - base, grams[at[new]].view(np.int64), whole
 
 
 def _buffers(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -93,29 +96,55 @@ def _buffers(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
         yield first, texts
 
 
-PHRASES = "doc_id long, h int, lo int, hi int, core long, phrase long"
-STRINGS = "doc_id long, h int, start int, once boolean, a long, b long"
-
-
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in PHRASES.split(", ")]
+    schema = "doc_id long, h int, at int, lo int, hi int, core long, phrase long"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for first, part in _buffers(b, 2):
-                rows = [(ids[first + t], hs[first + t], lo, hi, as_signed(c), as_signed(p)) for t, lo, hi, c, p in phrases(part, length)]
-                if rows:
+                if (found := phrases(part, length)) is not None:
+                    t, at, lo, hi, core, whole = found
+                    places = [pa.array(x, pa.int32()) for x in (hs[first + t], at, lo, hi)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + t], pa.int64()), *places, pa.array(core), pa.array(whole)], names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _blocks(texts: DataFrame, length: int) -> DataFrame:
+    """The blocks of the phrases in the column ``asked`` [(at, lo, hi, core, once)]: their strings start
+    BLOCK k to BLOCK k + BLOCK - 1 bytes before the trigger. inner is a hash of what these have in common,
+    whether they are all there or not; whole, of all that those that are there cover."""
+    schema = "doc_id long, h int, lo int, hi int, once boolean, core long, k int, inner long, whole long"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for b in batches:
+            rows = []
+            for doc_id, h, text, asked in zip(*(c.to_pylist() for c in b.columns)):
+                for x in asked:
+                    at, lo, hi = x["at"], x["lo"], x["hi"]
+                    for k in range((at - hi) // BLOCK, (at - lo) // BLOCK + 1):
+                        far, near = at - BLOCK * k - BLOCK + 1, at - BLOCK * k
+                        s, e = max(lo, far), min(hi, near)
+                        rows.append((doc_id, h, s, e, x["once"], x["core"], k, as_signed(digest(text[near : far + length])), as_signed(digest(text[s : e + length]))))
+                if len(rows) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return texts.mapInArrow(run, PHRASES)
+    return texts.mapInArrow(run, schema)
 
 
 def _strings(texts: DataFrame, length: int) -> DataFrame:
-    """Each string of the phrases in the column ``asked`` [(lo, hi, once)], with its 128-bit hash."""
+    """Each string of the blocks in the column ``asked`` [(lo, hi, once)], with its 128-bit hash."""
+    schema = "doc_id long, h int, lo int, once boolean, a long, b long"
     types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in STRINGS.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -128,24 +157,38 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
                     columns = [[doc_id] * len(part), [h] * len(part), [s for s, _ in part], [o for _, o in part], found[::2], found[1::2]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return texts.mapInArrow(run, STRINGS)
+    return texts.mapInArrow(run, schema)
+
+
+def _meeting(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:
+    """Rows that share ``keys`` with another, and whether all that do are ``same`` in ``whole``."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(whole).alias("p"), F.max(whole).alias("q")).filter("n > 1")
+    return rows.join(groups.select(*keys, (F.col("p") == F.col("q")).alias("same")), keys)
+
+
+def _with_text(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, h, bytes, asked) of the texts that ``asked`` (doc_id, h, asked) names, one each."""
+    needed = texts.join(small_side(asked.select("doc_id", "h")), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
+    return needed.join(asked, ["doc_id", "h"]).select("doc_id", "h", "bytes", "asked")
 
 
 def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, lo, hi): runs of starts of strings of ``length`` bytes that also start anywhere
     else in ``texts`` (doc_id, h, bytes). Runs cover just these starts; they may lie side by side."""
-    rows = cut(_parse(texts, length), "phrases")
-    member = F.struct("doc_id", "h", "lo", "hi")
-    entries = cut(rows.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(member).alias("m")), "dictionary")
-    copied = rows.join(entries.filter("n > 1").select("core", "phrase"), ["core", "phrase"], "left_semi").select("doc_id", "h", "lo", "hi")
-    shared = entries.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
-    asked = entries.join(shared, "core", "left_semi").groupBy("m.doc_id", "m.h").agg(F.collect_list(F.struct("m.lo", "m.hi", (F.col("n") == 1).alias("once"))).alias("asked"))
-    asked = cut(asked, "shared-phrases")
-    needed = texts.join(small_side(asked.select("doc_id", "h")), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"])
-    strings = cut(_strings(needed.join(asked, ["doc_id", "h"]).select("doc_id", "h", "bytes", "asked"), length), "strings")
+    run = ["doc_id", "h", "lo", "hi"]
+    met = cut(_meeting(cut(_parse(texts, length), "phrases"), ["core"], "phrase"), "meeting-phrases")
+    mixed = met.filter("not same")
+    entries = cut(mixed.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "lo", "hi")).alias("m")), "dictionary")
+    copied = mixed.join(entries.filter("n > 1").select("core", "phrase"), ["core", "phrase"], "left_semi")
+    found = cut(met.filter("same").select(*run).unionByName(copied.select(*run)), "copied-phrases")
+    asked = entries.groupBy("m.doc_id", "m.h").agg(F.collect_list(F.struct("m.at", "m.lo", "m.hi", "core", (F.col("n") == 1).alias("once"))).alias("asked"))
+    blocks = cut(_blocks(_with_text(texts, cut(asked, "asked-phrases")), length), "blocks")
+    met = cut(_meeting(blocks, ["core", "k", "inner"], "whole"), "meeting-blocks")
+    asked = met.filter("not same").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "once")).alias("asked"))
+    strings = cut(_strings(_with_text(texts, cut(asked, "asked-blocks")), length), "strings")
     twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
-    single = strings.filter("once").join(twice, ["a", "b"], "left_semi").select("doc_id", "h", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return copied.unionByName(single)
+    single = strings.filter("once").join(twice, ["a", "b"], "left_semi").select("doc_id", "h", "lo", F.col("lo").alias("hi"))
+    return found.unionByName(met.filter("same and once").select(*run)).unionByName(single)
 
 
 CUTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>"
@@ -170,7 +213,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other. A row without doc_id is kept whole and counts for nobody. Texts shorter than ``length``
     stay. Other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.hash("text").alias("h"), F.encode("text", "UTF-8").alias("bytes"))
     long = texts.filter((F.octet_length("bytes") >= length) & F.col("doc_id").isNotNull())
     found = repeated_strings(long, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
