@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import labelled_sample
+from tapeloom.llm.common import labelled_sample, text_batches
 
 #: The model is fitted on so many labelled rows at most, with texts of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 100_000
@@ -160,4 +160,4 @@ def score(docs: DataFrame, machine: Machine, output: str = "score") -> DataFrame
             scores = [own.score(t, c) for t, c in zip(b.column(at).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, output])
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import as_signed, cut
+from tapeloom.llm.common import as_signed, cut, text_batches
 from tapeloom.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 4, 16, 3
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             fps = [as_signed(fingerprint(t, shingle, seed)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:

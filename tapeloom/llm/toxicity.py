@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import labelled_sample
+from tapeloom.llm.common import labelled_sample, text_batches
 
 #: The model is fitted on so many labelled rows at most, with texts of so many characters at most.
 SAMPLE_ROWS, SAMPLE_CHARS = 5000, 100_000
@@ -141,4 +141,4 @@ def score(docs: DataFrame, model: SentenceModel) -> DataFrame:
             spans = [[{"start": s, "end": e, "score": p} for s, e, p in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array(spans, span)], ["doc_id", "score", "sentences"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SCORES)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SCORES)
