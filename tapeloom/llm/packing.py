@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import text_batches
+
 WINDOW, END_ID = 4096, 2
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
 K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 48
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_PIECES = 180_000, 120_000
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*#$%&|()\"-]*)")
 
@@ -41,33 +44,64 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Bytes stand for letters in the vocabulary: printable ones for themselves, others in order from 256.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in plain]
+        self.as_letters = {b: chr(256 + k) for k, b in enumerate(rest)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remember the ids of new pieces. A piece of plain letters and marks is two parts."""
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {"": b""}
-        split = [(p, (m[1].lower(), m[2]) if (m := _SIMPLE.fullmatch(p)) else (p, "")) for p in pieces]
-        new = list({x for _, parts in split for x in parts if x not in self.parts})
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, "<u4").tobytes()
-        for p, (x, y) in split:
-            self.pieces[p] = self.parts[x] + self.parts[y]
+    def _part(self, part: str) -> bytes:
+        """The ids of one word, or run of marks, as the vocabulary's model splits it."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.as_letters)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def _remembered(self, part: str) -> tuple[bytes, bool]:
+        """The ids of a part, and whether it was seen before. Of two generations of parts the older is
+        forgotten when the younger is full, so what comes often stays."""
+        found = self.parts.get(part)
+        if found is not None:
+            return found, True
+        found = self.old_parts.get(part)
+        seen = found is not None
+        if len(self.parts) >= CACHE_WORDS:
+            self.parts, self.old_parts = {}, self.parts
+        self.parts[part] = found = found if seen else self._part(part)
+        return found, seen
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece of plain letters and marks is two parts. Pieces whose word came before are remembered
+        whole."""
+        if piece.isascii() and piece.isalpha():
+            found, seen = self._remembered(piece.lower())
+        elif m := _SIMPLE.fullmatch(piece):
+            found, seen = self._remembered(m[1].lower())
+            if m[2]:
+                found += self._remembered(m[2])[0]
+        else:
+            return self._ids(piece)
+        if seen:
+            self.pieces[piece] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._ids(text)
         pieces = text.replace("\n", " ").split(" ")
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {"": b""}
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.pieces]:
-            self._learn(new)
-        return b"".join(map(self.pieces.__getitem__, pieces))
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            if len(self.pieces) >= CACHE_PIECES:
+                self.pieces = {"": b""}
+            new = {p: self._piece(p) for p in {p for p, x in zip(pieces, found) if x is None}}
+            found = [new[p] if x is None else x for p, x in zip(pieces, found)]
+        return b"".join(found)
 
 
 @dataclass
@@ -216,4 +250,4 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
         if rows := [*packer.shard(units), *packer.end()]:
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
