@@ -126,5 +126,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     linked = comps.join(first, comps.node == first.fp).select("fp", "component", "first_doc")
     least = linked.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     mapped = linked.join(least, "component").select("fp", "component_id")
-    per_fp = first.join(mapped, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # Written, so that the join below shuffles both sides itself and can split a fingerprint of many copies.
+    per_fp = cut(first.join(mapped, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "components")
     return prints.join(per_fp, "fp").select("doc_id", "fp", "component_id")
