@@ -161,9 +161,13 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _meeting(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:
-    """Rows that share ``keys`` with another, and whether all that do are ``same`` in ``whole``."""
+    """Rows that share ``keys`` with another, and whether all that do are ``same`` in ``whole``.
+
+    The groups are counted with a partial sum first and written, so that the join shuffles both sides
+    itself and Spark can split a key that holds a large share of the rows.
+    """
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(whole).alias("p"), F.max(whole).alias("q")).filter("n > 1")
-    return rows.join(groups.select(*keys, (F.col("p") == F.col("q")).alias("same")), keys)
+    return rows.join(cut(groups.select(*keys, (F.col("p") == F.col("q")).alias("same")), "groups"), keys)
 
 
 def _with_text(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -179,14 +183,14 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     met = cut(_meeting(cut(_parse(texts, length), "phrases"), ["core"], "phrase"), "meeting-phrases")
     mixed = met.filter("not same")
     entries = cut(mixed.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "lo", "hi")).alias("m")), "dictionary")
-    copied = mixed.join(entries.filter("n > 1").select("core", "phrase"), ["core", "phrase"], "left_semi")
+    copied = mixed.join(entries.filter("n > 1").select("core", "phrase"), ["core", "phrase"], "left_semi")  # both are written
     found = cut(met.filter("same").select(*run).unionByName(copied.select(*run)), "copied-phrases")
     asked = entries.groupBy("m.doc_id", "m.h").agg(F.collect_list(F.struct("m.at", "m.lo", "m.hi", "core", (F.col("n") == 1).alias("once"))).alias("asked"))
     blocks = cut(_blocks(_with_text(texts, cut(asked, "asked-phrases")), length), "blocks")
     met = cut(_meeting(blocks, ["core", "k", "inner"], "whole"), "meeting-blocks")
     asked = met.filter("not same").groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi", "once")).alias("asked"))
     strings = cut(_strings(_with_text(texts, cut(asked, "asked-blocks")), length), "strings")
-    twice = strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b")
+    twice = cut(strings.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "repeated-strings")
     single = strings.filter("once").join(twice, ["a", "b"], "left_semi").select("doc_id", "h", "lo", F.col("lo").alias("hi"))
     return found.unionByName(met.filter("same and once").select(*run)).unionByName(single)
 
