@@ -36,10 +36,10 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last development sessions, each scored by models of those before."""
-    rows = _samples(spark, sf_dir)
+    """Each development session but the first, scored by a model of all those before."""
+    rows = _samples(spark, sf_dir).checkpoint()  # read by a fit for each session
     dev, _, _ = _split(rows)
-    return M.forward_chained(rows.filter(F.col("session_id").isin(dev)), dev, FEATURES, "label", max(1, len(dev) - 3)).select("session_id", "batch_id", "label", "signal")
+    return M.forward_chained(rows, dev, FEATURES, "label").select("session_id", "batch_id", "label", "signal")
 
 
 def action_model(spark: SparkSession, sf_dir: str) -> DataFrame:
