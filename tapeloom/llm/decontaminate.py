@@ -88,15 +88,9 @@ def _n_hit(matched: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")), step, lambda a: a["n"])
 
 
-def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, rarest: int = RAREST) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items) for each row of ``docs`` (doc_id, text).
-
-    n_words counts the text's words, n_hit those inside any occurrence of a window of ``benchmark``
-    (item_id, text), items the ids of items with such windows, sorted as strings. Texts are taken
-    whole. Null and empty texts have no words; a row without doc_id has no hits; repeated rows each
-    get the same result. Without items nothing is hit. Other columns are ignored.
-    """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int, rarest: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, n_hit, wids) of the rows of ``docs`` (doc_id, text; none null) with windows, h being
+    the text's hash, and (wid, item_id)."""
     windows, of_items = windows_of(benchmark, size)
     plan, terms = _planned(docs, windows, rarest)
     index = cut(postings(docs, terms), "postings")
@@ -107,9 +101,28 @@ def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
     holds = lambda w: F.filter("cands", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["length"]), " ") == c["wtext"])
     matched = F.get(F.transform(F.array(words_of(F.col("text"))), lambda w: F.transform(holds(w), lambda c: F.struct(c["wid"].alias("wid"), c["start"].alias("start"), c["length"].alias("length")))), F.lit(0))
     hits = cut(texts.join(per_doc, "doc_id").select("doc_id", "h", matched.alias("m")).filter(F.size("m") > 0).select("doc_id", "h", _n_hit(F.col("m")).cast("long").alias("n_hit"), F.array_distinct("m.wid").alias("wids")), "hits")
+    return hits, of_items
+
+
+def hit_rows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, rarest: int = RAREST) -> DataFrame:
+    """(doc_id, h) of the rows of ``docs`` (doc_id, text) with a window of ``benchmark``; h is xxhash64 of
+    the text, a null one being empty."""
+    return _hits(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), benchmark, size, rarest)[0].select("doc_id", "h")
+
+
+def exact_matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, rarest: int = RAREST) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items) for each row of ``docs`` (doc_id, text).
+
+    n_words counts the text's words, n_hit those inside any occurrence of a window of ``benchmark``
+    (item_id, text), items the ids of items with such windows, sorted as strings. Texts are taken
+    whole. Null and empty texts have no words; a row without doc_id has no hits; repeated rows each
+    get the same result. Without items nothing is hit. Other columns are ignored.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits, of_items = _hits(docs, benchmark, size, rarest)
     items = hits.select("doc_id", "h", F.explode("wids").alias("wid")).join(small_side(of_items, "item_id"), "wid").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hit = hits.select("doc_id", "h", "n_hit").join(items, ["doc_id", "h"])
-    counted = docs.select("doc_id", same, F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("h"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return counted.join(hit, ["doc_id", "h"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items")
