@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.ranges import bucket_of
 from tapeloom.sources.schemas import BAD_TS_RECV, LAST, MAYBE_BAD_BOOK, SNAPSHOT
 
 MUTATES = ("A", "M", "C", "R")
@@ -94,11 +95,11 @@ def overlapping_windows(windows: DataFrame, bucket_ns: int = 86_400_000_000_000)
     don't multiply it.
     """
     def cells(side: str) -> DataFrame:
-        days = F.sequence(F.floor(F.col("start_ns") / bucket_ns), F.floor(F.col("end_ns") / bucket_ns))
+        days = F.sequence(bucket_of("start_ns", bucket_ns), bucket_of("end_ns", bucket_ns))
         return windows.select("instrument_id", F.col("id").alias(f"{side}_id"), F.col("start_ns").alias(f"{side}_start"), F.col("end_ns").alias(f"{side}_end"), F.explode(days).alias("bucket"))
 
     pairs = cells("a").join(cells("b"), ["instrument_id", "bucket"])
-    first = F.floor(F.greatest("a_start", "b_start") / bucket_ns)
+    first = bucket_of(F.greatest("a_start", "b_start"), bucket_ns)
     return pairs.filter("a_id < b_id and a_start <= b_end and b_start <= a_end").filter(first == F.col("bucket")).select("instrument_id", "a_id", "b_id")
 
 

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bucket_of(at: Column | str, width: int) -> Column:
+    """The bucket of ``width`` that a whole number lies in, without going through doubles."""
+    at = F.col(at) if isinstance(at, str) else at
+    return F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))
+
+
 def points_in_intervals(points: DataFrame, intervals: DataFrame, by: list[str], at: str, start: str, end: str, bucket: int) -> DataFrame:
     """Rows of ``points`` with each interval [start, end) of the same ``by`` that holds ``at``.
 
     An interval meets the points of the buckets it runs through, so the join's keys stay narrow
     however long a session is. Choose a bucket near the usual interval.
     """
-    cells = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
-    return points.withColumn("_bucket", F.floor(F.col(at) / bucket)).join(cells, [*by, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    cells = intervals.withColumn("_bucket", F.explode(F.sequence(bucket_of(start, bucket), bucket_of(F.col(end) - 1, bucket))))
+    return points.withColumn("_bucket", bucket_of(at, bucket)).join(cells, [*by, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
 
 
 def windows_over_intervals(windows: DataFrame, intervals: DataFrame, by: list[str], lo: str, hi: str, start: str, end: str, bucket: int) -> DataFrame:
     """Rows of ``windows`` [lo, hi] with each interval [start, end) that overlaps; a pair comes once."""
-    w = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(lo) / bucket), F.floor(F.col(hi) / bucket))))
-    i = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
-    first = F.floor(F.greatest(F.col(lo), F.col(start)) / bucket)
+    w = windows.withColumn("_bucket", F.explode(F.sequence(bucket_of(lo, bucket), bucket_of(hi, bucket))))
+    i = intervals.withColumn("_bucket", F.explode(F.sequence(bucket_of(start, bucket), bucket_of(F.col(end) - 1, bucket))))
+    first = bucket_of(F.greatest(lo, start), bucket)
     return w.join(i, [*by, "_bucket"]).filter((F.col(lo) < F.col(end)) & (F.col(hi) >= F.col(start)) & (first == F.col("_bucket"))).drop("_bucket")

@@ -58,7 +58,7 @@ def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: Da
     w = tasks.withColumn("x", each).select(
         "task_id", "session_id", "side", "arrival_ns", "deadline_ns", F.col("x.p").alias("policy_id"), F.col("x.s").alias("scenario_id"), F.col("x.ce").alias("ce"), F.col("x.r").alias("r"),
         (F.col("arrival_ns") - F.col("x.d")).alias("seen_ns"), (F.col("arrival_ns") + F.col("x.ce")).alias("x0"),
-        F.floor((F.col("arrival_ns") + F.col("deadline_ns")) / 2).alias("checkpoint_ns"), (F.col("deadline_ns") - F.col("x.g")).alias("cutoff_ns"),
+        F.expr("arrival_ns + (deadline_ns - arrival_ns) div 2").alias("checkpoint_ns"), (F.col("deadline_ns") - F.col("x.g")).alias("cutoff_ns"),
     )
     w = asof(w, client, ["session_id"], "seen_ns", "t", "seq", ["bid_price", "ask_price"]).drop("sample_time")
     passive = F.col("policy_id") != "B0"
