@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost
     executor costs nothing that was already written. What it shuffled is deleted at once."""
     spark = df.sparkSession
@@ -34,7 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -58,6 +60,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def kept(name: str, make):
+    """What this Python process makes once and keeps for its later tasks. Functions come to workers by
+    value, with fresh globals, so it is kept in a module of its own."""
+    state = vars(sys.modules.setdefault("_tapeloom_kept", types.ModuleType("_tapeloom_kept")))
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def as_unsigned(i: int) -> int:
     return i & 0xFFFFFFFFFFFFFFFF
 
