@@ -35,6 +35,7 @@ SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1024
 K1, B = 1.2, 0.75
 #: Routing is fitted on a bounded sample: so many documents of so many characters at most; PIVOTS of them stay.
 PIVOTS, PIVOT_SAMPLE, PIVOT_CHARS = 64, 512, 20_000
+PARTITION_BYTES = 64 << 20
 #: Terms drawn from a document to order it within its pivot.
 DRAWS = 3
 #: Words that a Python worker remembers, in each of two generations, and pieces.
@@ -174,10 +175,11 @@ class Unit:
 
 @dataclass
 class Statistics:
-    """Of the whole corpus: each id's weight by document frequency, and the mean length."""
+    """Of the whole corpus: each id's weight by document frequency, the mean length and the sum."""
 
     idf: np.ndarray
     mean: float
+    size: int
 
     def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))).astype(np.float32)
@@ -287,7 +289,7 @@ def _distinct(ids: np.ndarray) -> np.ndarray:
 
 
 def count_statistics(df: np.ndarray, n: int, size: int) -> Statistics:
-    return Statistics(np.log1p((n - df + 0.5) / (df + 0.5)), max(size, 1) / max(n, 1))
+    return Statistics(np.log1p((n - df + 0.5) / (df + 0.5)), max(size, 1) / max(n, 1), size)
 
 
 class Router:
@@ -326,9 +328,11 @@ class Router:
 
 
 def fit_router(docs: DataFrame, encoder: Encoder) -> Router:
-    """From the PIVOT_SAMPLE documents of least hash among those of at most PIVOT_CHARS characters."""
-    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text").between(1, PIVOT_CHARS))
-    rows = fit.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(PIVOT_SAMPLE).select("text").collect()
+    """From the texts of the PIVOT_SAMPLE smallest hashes of doc_id, those of more than PIVOT_CHARS
+    characters aside. Ids alone are ranked; then the few texts come to the driver."""
+    named = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").filter("doc_id is not null")
+    ranked = named.select("h").distinct().orderBy("h").limit(PIVOT_SAMPLE).agg(F.max("h").alias("h")).first().h
+    rows = [] if ranked is None else named.filter((F.col("h") <= ranked) & F.length("text").between(1, PIVOT_CHARS)).select("text").limit(PIVOT_SAMPLE).collect()
     return Router([x for x in encoder.encode_all([r.text for r in rows]) if len(x)], encoder.terms)
 
 
@@ -375,11 +379,14 @@ def corpus_statistics(tokens: DataFrame, terms: int) -> Statistics:
     return count_statistics(df, n, size)
 
 
-def shards(tokens: DataFrame) -> DataFrame:
+def shards(tokens: DataFrame, size: int = 0) -> DataFrame:
     """(doc_id, ids) of ``tokens``, range-partitioned and sorted by content, so that a partition's runs of
-    rows are shards. A hash of the row comes last, so equal documents need not stay together."""
+    rows are shards. A hash of the row comes last, so equal documents need not stay together.
+    ``size`` bytes of ids take so many partitions that each has about PARTITION_BYTES at most."""
     order = [*ROUTE, F.xxhash64("doc_id", "ids")]
-    return tokens.filter("ids is not null").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    n = -(-size // PARTITION_BYTES)
+    more = [n] if n > int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    return tokens.filter("ids is not null").repartitionByRange(*more, *order).sortWithinPartitions(*order).select("doc_id", "ids")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
@@ -421,4 +428,4 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
         if rows := [*packer.shard(units), *packer.end()]:
             yield out(rows)
 
-    return shards(tokens).mapInArrow(run, schema)
+    return shards(tokens, stats.size * np.dtype(width).itemsize).mapInArrow(run, schema)
