@@ -12,16 +12,24 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+    """The folder of this application's tables, in one that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    A cluster names that in ``spark.checkpoint.dir``. Only where it is unset and all runs on one
+    machine, as in tests, a temporary folder is made; a cluster without it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        path = kept(f"checkpoints:{app}", lambda: f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}")
+    return f"{path.rstrip('/')}/tables-{app}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` has written for this application. Results that read them, which
+    are lazy, have to be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Lets Spark delete a query's shuffle files when the query ends.

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by large-star and small-star steps.
 
-Every step is a grouped minimum (combined before the shuffle) and an equi-join back, so a hub's
-edges never meet in one task. Each round is written to the shared folder, which ends its lineage.
+Every step is a grouped minimum (combined before the shuffle) and an equi-join back that is broadcast or
+that Spark can split, so a hub's edges need not meet in one task. Each round is written to the shared folder, which ends its lineage.
 """
 
 from __future__ import annotations
@@ -9,19 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut
+from tapeloom.llm.common import BROADCAST_ROWS, cut
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` with the least neighbour of their a. Of few edges it is broadcast; else it is written first,
+    so that the join shuffles both sides itself and Spark can split a hub."""
+    return edges.join(F.broadcast(least) if 2 * n <= BROADCAST_ROWS else cut(least, "least"), "a")
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _joined(both, least, n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Takes edges with a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _joined(edges, least, n).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -34,8 +40,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     loops = e.filter("a = b").select(F.col("a").alias("node"))
     e, seen = e.filter("a > b"), None
-    for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)), "stars")
+    n = e.count()
+    for _ in range(max_rounds if n else 1):
+        # A large star has an edge for each edge, a small one no more than it was given.
+        e = cut(_small_star(_large_star(e, n), n), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

@@ -33,17 +33,23 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     words = (text or b"").lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
+    return simhash(shingle_hashes(words, shingle, seed))
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, joined by spaces; of the whole sequence if it is shorter."""
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) < shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[shingle - 1 :])]
+        return np.array([digest(joined, seed)], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    return np.array([digest(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[shingle - 1 :])], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the ``hashes``."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        part = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -59,8 +65,23 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp: Column, i: int) -> Column:
-    return F.shiftrightunsigned(fp, SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(0xFFFF)
+def _segment(fp: Column, i: int, bits: int = SEGMENT_BITS) -> Column:
+    return F.shiftrightunsigned(fp, bits * (i % (64 // bits))).bitwiseAND((1 << bits) - 1)
+
+
+def ring_holds(a: Column, b: Column, max_bits: int, segments: int) -> Column:
+    """Some start has a chain around the whole ring that keeps within its budgets, and the distance is at
+    most ``max_bits``: each that is passes, most others fail at their chains' first segments."""
+    whole, bits = a.bitwiseXOR(b), 64 // segments
+    near = [F.bit_count(_segment(whole, i, bits)) for i in range(segments)]
+    out = F.lit(False)
+    for i in range(segments):
+        ok, total = F.lit(True), F.lit(0)
+        for length in range(1, segments + 1):
+            total = total + near[(i + length - 1) % segments]
+            ok = ok & (total <= max_bits * length // segments)
+        out = out | ok
+    return out & (F.bit_count(whole) <= max_bits)
 
 
 def _keys(fps: DataFrame) -> DataFrame:
