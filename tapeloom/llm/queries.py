@@ -10,8 +10,10 @@ from tapeloom.llm.common import held_out, load
 
 
 def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.exact_matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    ids = lambda c: F.sha2(F.array_join(c, ","), 256)
+    near = [F.size("near_items").cast("long").alias("n_near_items"), ids("near_items").alias("near_items_sha256")]
+    return found.select("doc_id", "n_words", "n_hit", "n_items", ids("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *near)
 
 
 OP1_SQL = r"""
@@ -30,10 +32,24 @@ places as (
   from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, sizes)),
 hits as (select doc_id, i, n, item_id from places join windows using (g, n)),
 words as (select doc_id, count(distinct p)::bigint as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1),
-own as (select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by 1)
+own as (select doc_id, count(distinct item_id)::bigint as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by 1),
+terms as (select distinct item_id, lower(unnest(w)) as fold from items),
+tokens as (select doc_id, lower(unnest(w)) as fold, unnest(range(0, len(w))) as pos from texts),
+used as (select * from tokens where fold in (select fold from terms)),
+rare as (
+  select item_id, fold, row_number() over (partition by item_id order by n, fold) as k
+  from terms join (select fold, count(*) as n from used group by 1) using (fold) qualify k <= 3),
+anchors as (select doc_id, item_id, pos as at from rare join used using (fold) where k = 1),
+met as (
+  select a.doc_id, a.item_id, a.at, count(distinct r.fold) as n
+  from anchors a join rare r using (item_id) join used u on u.doc_id = a.doc_id and u.fold = r.fold and u.pos between a.at - 20 and a.at + 20 group by 1, 2, 3),
+near as (
+  select doc_id, count(distinct item_id)::bigint as n_near_items, string_agg(distinct item_id, ',' order by item_id) as near_ids
+  from met join (select item_id, count(*) as want from rare group by 1) using (item_id) where n = want group by 1)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from texts left join words using (doc_id) left join own using (doc_id)
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated,
+  coalesce(n_near_items, 0)::bigint as n_near_items, sha256(coalesce(near_ids, '')) as near_items_sha256
+from texts left join words using (doc_id) left join own using (doc_id) left join near using (doc_id)
 """
 
 

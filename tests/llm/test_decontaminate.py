@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -59,7 +60,42 @@ def test_main_path_is_native(make, bench, edge_texts):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_proximity(make, bench):
+def near_brute(texts, items, span=20, rarest=3):
+    """(doc_id, item_id, pos) by looking around each place."""
+    corpus = Counter(w.lower() for _, t in texts for w in words(t))
+    out = set()
+    for i, it in items:
+        own = sorted((corpus[w], w) for w in {w.lower() for w in words(it)} if corpus[w])[:rarest]
+        for d, t in texts:
+            w = [x.lower() for x in words(t)]
+            for p, x in enumerate(w):
+                if own and i is not None and d is not None and x == own[0][1] and {y for _, y in own} <= set(w[max(0, p - span) : p + span + 1]):
+                    out.add((d, str(i), p))
+    return sorted(out)
+
+
+def test_proximity(make, bench, edge_texts):
     texts = [(1, "zeta filler words then kappa and some more until omega ends"), (2, "zeta " + "pad " * 50 + "kappa omega"), (3, "kappa zeta omega"), (4, None)]
     found = decontaminate.proximity_matches(make(texts), bench([(5, "omega kappa zeta")]), span=12).collect()
     assert {r.doc_id for r in found} == {1, 3} and {r.item_id for r in found} == {"5"}
+
+
+@pytest.mark.parametrize("span", [3, 20])
+def test_proximity_against_looking_around(make, bench, edge_texts, span):
+    rng = random.Random(4)
+    vocab = ["alpha", "Beta", "gamma", "delta", "ETA", "iota", "kappa", "nu", "xi", "pi"]
+    text = lambda n: " ".join(rng.choice(vocab[: rng.randrange(2, 11)]) for _ in range(n))
+    texts = [x for x in edge_texts if x[0] not in (6,)] + [(20 + i, text(rng.randrange(0, 90))) for i in range(30)] + [(None, "pi xi nu"), (60, "xi pi nu nu pi xi")]
+    items = [(i, text(rng.randrange(1, 6))) for i in range(12)] + [(50, "pi"), (51, "none such"), (52, "xi none"), (53, ""), (54, None), (None, "pi")]
+    found = decontaminate.proximity_matches(make(texts), bench(items), span=span).collect()
+    want = near_brute(texts, items, span)
+    assert sorted((r.doc_id, r.item_id, r.pos) for r in found) == want and want
+    near = {}
+    for d, i, _ in want:
+        near.setdefault(d, set()).add(i)
+    assert all(r.near_items == sorted(near.get(r.doc_id, ())) for r in decontaminate.matches(make(texts), bench(items), span=span).collect())
+
+
+def test_proximity_of_nothing(make, bench, edge_texts):
+    assert decontaminate.proximity_matches(make([]), bench([(1, "a b")])).collect() == []
+    assert decontaminate.proximity_matches(make(edge_texts), bench([])).collect() == []
