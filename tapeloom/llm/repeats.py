@@ -4,7 +4,9 @@ A rolling hash marks triggers: in each string of LENGTH bytes the trigger is the
 the least hash, the first of equals. So a string has its trigger at the same place wherever it stands,
 and texts are parsed into phrases that are cut alike in every copy: the strings of one trigger form a
 phrase, and phrases overlap by what a string needs. Equal phrases are one entry of the dictionary and
-have all their strings in common, so copies cost one entry however often they come.
+have all their strings in common, so copies cost one entry however often they come. In periodic text
+equal phrases follow each other; such a run is one row, and all its strings repeat, so that text does
+not cost a row for each period.
 
 Three levels find the strings that come twice. Phrases with equal triggers meet; where all of them are
 equal, all their strings repeat, and a phrase that meets none has none. Of the dictionary's entries that
@@ -61,8 +63,9 @@ def triggers(grams: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 
 def phrases(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...] | None:
-    """(text's number, trigger, first start, last start, gram hash, phrase hash) of the phrases of texts,
-    as arrays; places count from their text's begin."""
+    """(text's number, trigger, first start, last start, gram hash, phrase hash, phrases, run's last start)
+    of the phrases of texts, as arrays; places count from their text's begin. Equal phrases of one text that
+    follow each other are one row, the first one's, with their number and the last one's end."""
     data, n = b"".join(texts), len(texts)
     if len(data) < length:
         return None
@@ -80,8 +83,11 @@ def phrases(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     last = np.append(new[1:], len(start)) - 1
     lo, hi, digest = start[new], start[last], xxhash.xxh3_64_intdigest
     whole = np.array([digest(data[s : e + length]) for s, e in zip(lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
-    base = (ends - sizes)[text[new]]
-    return text[new], at[new] - base, lo - base, hi - base, grams[at[new]].view(np.int64), whole
+    base, core = (ends - sizes)[text[new]], grams[at[new]].view(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(whole) != 0) | (np.diff(core) != 0) | (np.diff(text[new]) != 0)]))
+    n = np.diff(np.append(first, len(whole)))
+    end = (hi - base)[first + n - 1]
+    return text[new][first], (at[new] - base)[first], (lo - base)[first], (hi - base)[first], core[first], whole[first], n, end
 
 
 def _buffers(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -97,7 +103,7 @@ def _buffers(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    schema = "doc_id long, h int, at int, lo int, hi int, core long, phrase long"
+    schema = "doc_id long, h long, at int, lo int, hi int, core long, phrase long, n long, end int"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +111,9 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
             ids, hs = b.column(0).to_numpy(), b.column(1).to_numpy()
             for first, part in _buffers(b, 2):
                 if (found := phrases(part, length)) is not None:
-                    t, at, lo, hi, core, whole = found
-                    places = [pa.array(x, pa.int32()) for x in (hs[first + t], at, lo, hi)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + t], pa.int64()), *places, pa.array(core), pa.array(whole)], names)
+                    t, at, lo, hi, core, whole, n, end = found
+                    places = [pa.array(x, pa.int32()) for x in (at, lo, hi)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + t], pa.int64()), pa.array(hs[first + t], pa.int64()), *places, pa.array(core), pa.array(whole), pa.array(n, pa.int64()), pa.array(end, pa.int32())], names)
 
     return texts.mapInArrow(run, schema)
 
@@ -116,8 +122,8 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
     """The blocks of the phrases in the column ``asked`` [(at, lo, hi, core, once)]: their strings start
     BLOCK k to BLOCK k + BLOCK - 1 bytes before the trigger. inner is a hash of what these have in common,
     whether they are all there or not; whole, of all that those that are there cover."""
-    schema = "doc_id long, h int, lo int, hi int, once boolean, core long, k int, inner long, whole long"
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    schema = "doc_id long, h long, lo int, hi int, once boolean, core long, k int, inner long, whole long"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +148,8 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
 
 def _strings(texts: DataFrame, length: int) -> DataFrame:
     """Each string of the blocks in the column ``asked`` [(lo, hi, once)], with its 128-bit hash."""
-    schema = "doc_id long, h int, lo int, once boolean, a long, b long"
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    schema = "doc_id long, h long, lo int, once boolean, a long, b long"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +166,14 @@ def _strings(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def _meeting(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:
-    """Rows that share ``keys`` with another, and whether all that do are ``same`` in ``whole``.
+def _meeting(rows: DataFrame, keys: list[str], whole: str, n=None) -> DataFrame:
+    """Rows that share ``keys`` with another, and whether all that do are ``same`` in ``whole``. A row
+    stands for ``n`` equal ones.
 
     The groups are counted with a partial sum first and written, so that the join shuffles both sides
     itself and Spark can split a key that holds a large share of the rows.
     """
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(whole).alias("p"), F.max(whole).alias("q")).filter("n > 1")
+    groups = rows.groupBy(*keys).agg((F.count("*") if n is None else F.sum(n)).alias("m"), F.min(whole).alias("p"), F.max(whole).alias("q")).filter("m > 1")
     return rows.join(cut(groups.select(*keys, (F.col("p") == F.col("q")).alias("same")), "groups"), keys)
 
 
@@ -180,11 +187,12 @@ def repeated_strings(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, h, lo, hi): runs of starts of strings of ``length`` bytes that also start anywhere
     else in ``texts`` (doc_id, h, bytes). Runs cover just these starts; they may lie side by side."""
     run = ["doc_id", "h", "lo", "hi"]
-    met = cut(_meeting(cut(_parse(texts, length), "phrases"), ["core"], "phrase"), "meeting-phrases")
+    met = cut(_meeting(cut(_parse(texts, length), "phrases"), ["core"], "phrase", "n"), "meeting-phrases")
     mixed = met.filter("not same")
-    entries = cut(mixed.groupBy("core", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "at", "lo", "hi")).alias("m")), "dictionary")
+    entries = cut(mixed.groupBy("core", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "h", "at", "lo", "hi")).alias("m")), "dictionary")
     copied = mixed.join(entries.filter("n > 1").select("core", "phrase"), ["core", "phrase"], "left_semi")  # both are written
-    found = cut(met.filter("same").select(*run).unionByName(copied.select(*run)), "copied-phrases")
+    whole = [*run[:3], F.col("end").alias("hi")]
+    found = cut(met.filter("same").select(*whole).unionByName(copied.select(*whole)), "copied-phrases")
     asked = entries.groupBy("m.doc_id", "m.h").agg(F.collect_list(F.struct("m.at", "m.lo", "m.hi", "core", (F.col("n") == 1).alias("once"))).alias("asked"))
     blocks = cut(_blocks(_with_text(texts, cut(asked, "asked-phrases")), length), "blocks")
     met = cut(_meeting(blocks, ["core", "k", "inner"], "whole"), "meeting-blocks")
@@ -218,7 +226,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     stay. Other columns are ignored.
     """
     texts = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.hash("text").alias("h"), F.encode("text", "UTF-8").alias("bytes"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), F.encode("text", "UTF-8").alias("bytes"))
     long = texts.filter((F.octet_length("bytes") >= length) & F.col("doc_id").isNotNull())
     found = repeated_strings(long, length).groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     found = cut(found, "repeated")

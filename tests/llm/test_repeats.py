@@ -61,3 +61,14 @@ def test_long_text_and_spans(make, edge_texts):
     found = {r.doc_id: r for r in repeats.remove_repeats(make([(1, long), (2, long[1000:2000]), (3, "tail")])).collect()}
     assert (found[1].n_removed, [tuple(s) for s in found[1].spans]) == (len(long[1000:2000].encode()), [(len(long[:1000].encode()), len(long[:2000].encode()))])
     assert found[2].n_removed == found[2].n_bytes and found[3].n_removed == 0
+
+
+@pytest.mark.parametrize("period", [1, 2, 6, 37, 150, 170, 400])
+def test_periodic_text_is_not_a_phrase_a_period(make, period):
+    rng = random.Random(period)
+    text = "".join(rng.choice("abcdefgh") for _ in range(period)) * (12_000 // period)
+    _, _, lo, hi, _, _, n, end = repeats.phrases([text.encode()])
+    assert len(lo) <= 60 or period >= 150  # short periods have one trigger each, longer ones few
+    assert len(lo) <= len(text) / 40 and lo[0] == 0 and end[-1] == len(text) - 200 and (end >= hi).all() and (lo[1:] == end[:-1] + 1).all()
+    texts = [(1, text), (2, text[: 150 + period] + "#" + text[:300]), (3, "x" * 199)]
+    assert result(repeats.remove_repeats(make(texts))) == brute(texts, 200)
