@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -97,17 +97,27 @@ def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % HELD_OUT_FOLDS == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, chars: int) -> DataFrame:
+#: Characters of all texts of a labelled sample together, as they come to the driver.
+SAMPLE_TOTAL = 24_000_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int, chars: int, total: int = SAMPLE_TOTAL) -> DataFrame:
     """Rows of ``docs`` with their ``label``, for at most ``limit`` of the documents in ``labels``
-    (doc_id, label) and texts of at most ``chars`` characters.
+    (doc_id, label), texts of at most ``chars`` characters and ``total`` characters of all.
 
-    The same labels give the same sample: those with the smallest hash of doc_id. Only ids are
+    The same tables give the same sample: those with the smallest hash of doc_id. Only ids are
     sorted, and the few chosen go to the documents. Null labels are left out; of a repeated doc_id
-    one row counts.
+    one row counts, that of the smallest text hash.
     """
     usable = labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
-    ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.join(F.broadcast(ids), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= chars).dropDuplicates(["doc_id"]).orderBy("doc_id")
+    rank = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = usable.orderBy(*rank).limit(limit)
+    fit = docs.join(F.broadcast(ids), "doc_id").filter(F.length(F.coalesce("text", F.lit(""))) <= chars)
+    rest = [c for c in fit.columns if c != "doc_id"]
+    one = fit.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), *rest)).alias("_r")).select("doc_id", *(F.col(f"_r.{c}") for c in rest))
+    # A running sum over the few chosen rows.
+    upto = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))
+    return one.withColumn("_upto", upto).filter(F.col("_upto") <= total).drop("_upto").orderBy("doc_id")
 
 
 #: Sides of at most so many rows and bytes are broadcast; larger ones are shuffled.
