@@ -44,8 +44,7 @@ def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def action_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Miss and cost of holding and of switching, for each scenario, from the worlds' outcomes."""
-    # Verdicts on the tape's quality are left aside here: they void every task of the derived tape.
-    out = _outcomes(Market(spark, sf_dir, settle=True), judge=False).filter("deadline_cost_ticks is not null and policy_id <> 'B0'")
+    out = _outcomes(Market(spark, sf_dir, settle=True)).filter("deadline_cost_ticks is not null and policy_id <> 'B0'")
     side, slow = F.when(F.col("task_id").endswith("B"), 1.0).otherwise(-1.0), (F.col("scenario_id") == "L6").cast("double")
     rows = out.select("policy_id", (F.col("status") == "DEADLINE_MISS").cast("int").alias("miss"), "deadline_cost_ticks", side.alias("side"), slow.alias("slow")).checkpoint()
     frames = []

@@ -152,7 +152,7 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tape(spark, sf_dir).withColumn("half", F.floor(F.col("source_ordinal") / 40))
+    rows = tape(spark, sf_dir).withColumn("half", F.expr("source_ordinal div 80"))
     windows = rows.groupBy("half", (F.col("order_id") % 5).alias("instrument_id")).agg(F.min("event_time_ns").alias("start_ns"), (F.max("event_time_ns") + HOUR // 3).alias("end_ns")).withColumnRenamed("half", "id")
     return B.overlapping_windows(windows)
 
@@ -169,12 +169,12 @@ def _worlds(m: Market) -> DataFrame:
     return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"), keep=m.keep)
 
 
-def _outcomes(m: Market, judge: bool = True) -> DataFrame:
-    """Costs against the market's mid at arrival, with quality verdicts if asked for."""
+def _outcomes(m: Market) -> DataFrame:
+    """Costs against the market's mid at arrival, with quality verdicts."""
     at = asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumnRenamed("mid2", "m0_mid2").drop("sample_time")
     end = asofs.asof(at, m.mids, ["session_id"], "deadline_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A"))))
     named = end.select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "m0_mid2", F.col("mid2").alias("m_t_mid2"))
-    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null") if judge else _tasks(m).limit(0).withColumn("reason", F.lit("")).select("session_id", "arrival_ns", "deadline_ns", "reason")
+    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null")
     return W.outcomes(_worlds(m), named.select("task_id", "m0_mid2"), verdicts, named.select("task_id", "m_t_mid2"))
 
 
@@ -226,7 +226,7 @@ ORACLE_SQL = {
     "batch_quality_flags": f"{SQL} select kind, quality_flags, count(*)::bigint as n_batches, sum(n_records)::bigint as n_records from batches group by 1, 2",
     "duplicate_records": """select 'DUPLICATE_ORDINAL' as kind, l_linenumber::bigint as source_ordinal, l_linenumber::bigint as first_seen, sum(n - 1)::bigint as n
       from (select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1) group by 1, 2, 3""",
-    "overlapping_windows": f"""with {TAPE_SQL}, w as (select source_ordinal // 40 as id, order_id % 5 as instrument_id, min(event_time_ns) as s, max(event_time_ns) + {HOUR // 3} as e from tape group by 1, 2)
+    "overlapping_windows": f"""with {TAPE_SQL}, w as (select source_ordinal // 80 as id, order_id % 5 as instrument_id, min(event_time_ns) as s, max(event_time_ns) + {HOUR // 3} as e from tape group by 1, 2)
       select a.instrument_id, a.id as a_id, b.id as b_id from w a join w b on a.instrument_id = b.instrument_id and a.id < b.id and a.s <= b.e and b.s <= a.e""",
     "execution_groups": f"{SQL}, {B.EVIDENCE_SQL} select e.session_id, e.batch_id, n_groups, n_valid, invalid, case when invalid or quality_flags <> '' then 0 else fills end::bigint as n_allocations from evidence e join batches using (session_id, batch_id)",
     "order_state": f"{BOOK} select s.session_id, s.epoch, s.order_id, s.source_ordinal, o.action, s.alive, s.side, s.price as price_fixed, s.qty as quantity, s.prio as priority from states s join own o using (session_id, source_ordinal)",

@@ -1,6 +1,6 @@
 """An order-level tape and a study's result table, derived from the general test tables.
 
-The ordinal is event_id * 4 + place, so no global sort is needed to number records.
+The ordinal is event_id * 8 + place, so no global sort is needed to number records.
 """
 
 from __future__ import annotations
@@ -15,11 +15,53 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: How many events an order of a clean session rests, and events from one book reset to the next.
+RESTS, RESET = 6, 499
+
+
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records (session_id, source_ordinal, action, side, price_fixed, quantity, order_id,
-    event_time_ns, capture_time_ns, flags) of the table ``events``."""
-    e = F.col("event_id")
+    event_time_ns, capture_time_ns, flags) of the table ``events``.
+
+    Every sixth day is dirty: orders are reused, flags and times are bad. On the other days an event
+    adds an order around a price that wanders, and the order of RESTS events before leaves: it is
+    executed, or modified and cancelled, or cancelled.
+    """
     ns = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000
+    events = load(spark, sf_dir, "events").select(F.col("ts").cast("date").cast("string").alias("session_id"), F.dayofmonth("ts").alias("day"), "event_id", "user_id", "event_type", "value", ns.alias("ns"))
+    return _dirty(events.filter("day % 6 = 0")).unionByName(_clean(events.filter("day % 6 <> 0")))
+
+
+def _clean(events: DataFrame) -> DataFrame:
+    e, b = F.col("event_id"), F.col("event_id") - RESTS
+    base = lambda k: 100_000_000_000 + TICK * F.abs(F.expr(f"({k}) div 12") % 21 - 10)
+    side = lambda k: F.when(k % 2 == 0, "B").otherwise("A")
+    price = lambda k, name: base(name) + F.when(k % 2 == 0, -1).otherwise(1) * TICK * (1 + F.expr(f"({name}) div 2") % 2)
+    mine, old = (price(e, "event_id"), 1 + e % 5, e + 1), (price(b, f"event_id - {RESTS}"), 1 + b % 5, b + 1)
+
+    def one(sub, action, side, values, flags=0):
+        return F.struct(F.lit(sub).alias("sub"), F.lit(action).alias("action"), side.alias("side"), values[0].cast("long").alias("price_fixed"), values[1].cast("long").alias("quantity"), values[2].cast("long").alias("order_id"), F.lit(flags).alias("flags"))
+
+    grown = (old[0], old[1] + 3, old[2])
+    add, none = one(3, "A", side(e), mine, LAST), F.lit(0)
+    executed = F.array(one(0, "T", side(b + 1), (*old[:2], none)), one(1, "F", side(b), old), one(2, "C", side(b), old), add)
+    modified = F.array(one(1, "M", side(b), grown), one(2, "C", side(b), grown), add)
+    reset = F.array(one(0, "R", F.lit("N"), (none, none, none), SNAPSHOT), one(3, "A", side(e), mine, SNAPSHOT | LAST))
+    leaves = F.col("before").isNotNull() & (F.expr(f"event_id div {RESET}") == F.expr(f"(event_id - {RESTS}) div {RESET}"))
+    records = (
+        F.when(e % RESET == 0, reset).when(~leaves, F.array(add)).when(F.col("event_type").isin("purchase", "click"), executed)
+        .when(F.col("event_type") == "view", modified).otherwise(F.array(one(2, "C", side(b), old), add))
+    )
+    before = events.select("session_id", (e + RESTS).alias("event_id"), F.lit(True).alias("before"))
+    rows = events.join(before, ["session_id", "event_id"], "left").withColumn("r", F.explode(records))
+    return rows.select(
+        "session_id", (e * 8 + F.col("r.sub")).alias("source_ordinal"), "r.action", "r.side", "r.price_fixed", "r.quantity", "r.order_id",
+        F.col("ns").alias("event_time_ns"), (F.col("ns") + (e % 7) * 1000).alias("capture_time_ns"), F.col("r.flags").cast("long").alias("flags"),
+    )
+
+
+def _dirty(events: DataFrame) -> DataFrame:
+    e = F.col("event_id")
     own = F.when(F.col("user_id") % 2 == 0, "B").otherwise("A")
     other = F.when(F.col("user_id") % 2 == 0, "A").otherwise("B")
     order = F.col("user_id") % 20
@@ -27,10 +69,10 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     trade = F.array(one(F.lit("T"), other, F.lit(0).cast("long"), 0, F.lit(False)), one(F.lit("F"), own, order, 1, F.lit(False)), one(F.lit("C"), own, order, 2, F.lit(True)))
     kind = F.col("event_type")
     single = F.when(kind == "view", "M").when(kind == "click", "C").when((kind == "error") & (e % 97 == 0), "R").otherwise("A")
-    rows = load(spark, sf_dir, "events").select(
-        F.col("ts").cast("date").cast("string").alias("session_id"),
+    rows = events.select(
+        "session_id",
         "event_id",
-        ns.alias("ns"),
+        "ns",
         F.when(own == "B", 100_000_000_000 - (e % 5) * TICK).otherwise(100_250_000_000 + (e % 5) * TICK).alias("price_fixed"),
         (1 + F.floor("value") % 20).cast("long").alias("quantity"),
         F.explode(F.when(kind == "purchase", trade).otherwise(F.array(one(single)))).alias("r"),
@@ -38,14 +80,14 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = lambda held, value: F.when(held, value).otherwise(0)
     flags = bit(F.col("r.last"), LAST) + bit(e % 97 <= 2, SNAPSHOT) + bit(e % 307 == 0, BAD_TS_RECV) + bit(e % 211 == 0, MAYBE_BAD_BOOK)
     return rows.select(
-        "session_id", (e * 4 + F.col("r.sub")).alias("source_ordinal"), "r.action", "r.side", "price_fixed", "quantity", "r.order_id",
+        "session_id", (e * 8 + F.col("r.sub")).alias("source_ordinal"), "r.action", "r.side", "price_fixed", "quantity", "r.order_id",
         F.col("ns").alias("event_time_ns"), (F.col("ns") + (e % 7) * 1000 - F.when(e % 401 == 0, 50_000).otherwise(0)).alias("capture_time_ns"), flags.cast("long").alias("flags"),
     )
 
 
-TAPE_SQL = """
-tape as (
-  select cast(cast(ts as date) as varchar) as session_id, event_id * 4 + sub as source_ordinal, action,
+TAPE_SQL = f"""
+tape_dirty as (
+  select cast(cast(ts as date) as varchar) as session_id, event_id * 8 + sub as source_ordinal, action,
     case when swap then case when user_id % 2 = 0 then 'A' else 'B' end else case when user_id % 2 = 0 then 'B' else 'A' end end as side,
     case when user_id % 2 = 0 then 100000000000 - (event_id % 5) * 250000000 else 100250000000 + (event_id % 5) * 250000000 end as price_fixed,
     cast(1 + cast(floor(value) as bigint) % 20 as bigint) as quantity,
@@ -60,7 +102,27 @@ tape as (
       from events where event_type <> 'purchase'
     union all select *, 0, 'T', true, false from events where event_type = 'purchase'
     union all select *, 1, 'F', false, false from events where event_type = 'purchase'
-    union all select *, 2, 'C', false, true from events where event_type = 'purchase'))
+    union all select *, 2, 'C', false, true from events where event_type = 'purchase')
+  where day(ts) % 6 = 0),
+tape_steps as (
+  select a.event_id as e, a.ts, b.event_id as b, a.event_id % {RESET} = 0 as resets,
+    b.event_id is not null and a.event_id // {RESET} = b.event_id // {RESET} and a.event_id % {RESET} <> 0 as leaves, a.event_type in ('purchase', 'click') as trades, a.event_type = 'view' as modifies
+  from events a left join events b on b.event_id = a.event_id - {RESTS} and cast(b.ts as date) = cast(a.ts as date)
+  where day(a.ts) % 6 <> 0),
+tape_rows as (
+  select e, ts, 0 as sub, 'T' as action, b as o, true as swap, 0 as more, 0 as flags from tape_steps where leaves and trades
+  union all select e, ts, 1, 'F', b, false, 0, 0 from tape_steps where leaves and trades
+  union all select e, ts, 1, 'M', b, false, 3, 0 from tape_steps where leaves and modifies
+  union all select e, ts, 2, 'C', b, false, case when modifies then 3 else 0 end, 0 from tape_steps where leaves
+  union all select e, ts, 0, 'R', null, false, 0, 32 from tape_steps where resets
+  union all select e, ts, 3, 'A', e, false, 0, case when resets then 160 else 128 end from tape_steps),
+tape as (
+  select * from tape_dirty
+  union all
+  select cast(cast(ts as date) as varchar), e * 8 + sub, action, case when o is null then 'N' when (o % 2 = 0) <> swap then 'B' else 'A' end,
+    coalesce(100000000000 + 250000000 * abs(o // 12 % 21 - 10) + case when o % 2 = 0 then -1 else 1 end * 250000000 * (1 + o // 2 % 2), 0)::bigint,
+    coalesce(1 + o % 5 + more, 0)::bigint, case when o is null or swap then 0 else o + 1 end, epoch_us(ts) * 1000, epoch_us(ts) * 1000 + (e % 7) * 1000, flags::bigint
+  from tape_rows)
 """
 
 

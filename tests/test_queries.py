@@ -41,3 +41,16 @@ def test_against_duckdb(spark, duck, name):
     got, want = QUERIES[name](spark, SF), duck.sql(ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_the_tape_puts_the_queries_to_the_test(duck):
+    """Most tasks can be judged, and every status, mechanism and reason comes."""
+    con = duckdb.connect()
+    con.sql("create view events as select * from '/root/testdata/sf0.01/events.parquet'")
+    reasons = dict(con.sql(f"select reason, count(*) from ({ORACLE['unevaluable_tasks']}) group by 1").fetchall())
+    assert 2 * reasons[None] > sum(reasons.values()) and len(reasons) >= 3
+    found = con.sql(f"select status, mechanism, count(*), count(is_ticks), count(deadline_cost_ticks) from ({ORACLE['world_outcomes']}) group by 1, 2").fetchall()
+    assert {"QUEUE_DEPLETION", "TRADE_THROUGH", "AGGRESSIVE"} <= {m for s, m, *_ in found if s == "COMPLETED_ON_TIME"}
+    assert {s for s, *_ in found} == {"COMPLETED_ON_TIME", "DEADLINE_MISS", "TECHNICALLY_UNEVALUABLE"}
+    assert sum(r[4] for r in found) > sum(r[2] for r in found) / 2
+    assert con.sql(f"select count(markout_ticks) > count(*) / 2 from ({ORACLE['markouts']})").fetchone()[0]
