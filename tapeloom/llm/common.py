@@ -77,6 +77,11 @@ def kept(name: str, make):
     return state[name]
 
 
+def forget(name: str) -> None:
+    """Drop what ``kept`` made, if this process has it."""
+    vars(sys.modules.get("_tapeloom_kept", types.ModuleType(""))).pop(name, None)
+
+
 def as_unsigned(i: int) -> int:
     return i & 0xFFFFFFFFFFFFFFFF
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import cut, kept, text_batches
+from tapeloom.llm.common import cut, forget, kept, text_batches
 
 WINDOW, END_ID = 4096, 2
 #: A shard's index holds so many ids or documents, what was left over aside.
@@ -39,7 +39,7 @@ PARTITION_BYTES = 64 << 20
 #: Terms drawn from a document to order it within its pivot.
 DRAWS = 3
 #: Words that a Python worker remembers, in each of two generations, and pieces.
-CACHE_WORDS, CACHE_PIECES = 200_000, 400_000
+CACHE_WORDS, CACHE_PIECES = 120_000, 200_000
 
 #: The vocabulary's own split of texts, lower-cased, that have no character above U+00FF.
 _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+").findall
@@ -160,7 +160,11 @@ class Encoder:
 
 def kept_encoder(path: str) -> Encoder:
     """The worker's encoder, which later tasks find with the words that it remembers."""
-    return kept(f"encoder:{path}", lambda: Encoder(path))
+    return kept(encoder_name(path), lambda: Encoder(path))
+
+
+def encoder_name(path: str) -> str:
+    return f"encoder:{path}"
 
 
 @dataclass
@@ -193,8 +197,8 @@ class _Shard:
         sizes = np.array([len(u.ids) for u in units])
         ids = np.concatenate([u.ids for u in units])
         order = np.argsort(ids, kind="stable")  # so places of one id are in order of units
-        term, doc = ids[order].astype(np.int64), np.repeat(np.arange(n), sizes)[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (np.diff(doc) != 0)]))
+        term, doc = ids[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]))
         tf = np.diff(np.append(new, len(term)))
         term, self.doc = term[new], doc[new]
         self.first = np.searchsorted(term, np.arange(terms + 1))
@@ -415,6 +419,7 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFr
     stats = corpus_statistics(tokens, encoder.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(encoder_name(tokenizer_path))  # its words take more memory than a shard
         packer, units, size = _Packer(TaskContext.get().partitionId() << 40, stats), [], 0
         for b in batches:
             for doc_id, x in zip(b.column(0).to_pylist(), b.column(1)):
