@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +22,11 @@ MARKOUTS, MAX_AGE = [60_000_000_000, 600_000_000_000, HOUR], HOUR // 2
 def _settled(df: DataFrame) -> DataFrame:
     """``df``, written to the checkpoint folder: for tables that one query reads many times. A cluster
     names the folder in spark.checkpoint.dir; one machine without it gets a temporary one."""
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
-        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
-        df.sparkSession.sparkContext.setCheckpointDir(folder)
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}")
     return df.checkpoint()
 
 
