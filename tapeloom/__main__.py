@@ -39,14 +39,13 @@ def main(argv: list[str] | None = None) -> int:
         plans.queries()[args.name](spark, args.tables).show(20, truncate=False)
     elif args.command == "validate":
         from tapeloom import invariants
-        from tapeloom.operators import book
         from tapeloom.plans.market import Market
 
-        m = Market(spark, args.tables, settle=True)
+        m = Market(spark, args.tables)
         found = invariants.tallies(m.batches, m.states.filter("anomaly is not null")).collect()
         for r in sorted(found):
             print(*r)
-        broken = invariants.broken_levels(book.level_depth(m.resting)).count()
+        broken = invariants.broken_levels(m.depth()).count()
         return int(broken > 0 or any(r.what != "batch" for r in found))
     elif args.command == "study":
         from tapeloom.study import run_study

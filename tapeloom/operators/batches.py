@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ranges import bucket_of
+from tapeloom.operators.ranges import bucket_of, running_total
 from tapeloom.sources.schemas import BAD_TS_RECV, LAST, MAYBE_BAD_BOOK, SNAPSHOT
 
 MUTATES = ("A", "M", "C", "R")
@@ -17,8 +17,8 @@ def has(bit: int):
 
 def number_batches(records: DataFrame) -> DataFrame:
     """``records`` with batch_id: how many records of the session before it close a batch."""
-    w = Window.partitionBy("session_id").orderBy("source_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("batch_id", F.coalesce(F.sum(has(LAST).cast("long")).over(w), F.lit(0)))
+    closing = records.withColumn("_closes", has(LAST).cast("long"))
+    return running_total(closing, ["session_id"], "source_ordinal", "_closes", "batch_id").drop("_closes")
 
 
 def assemble(numbered: DataFrame) -> DataFrame:

@@ -1,20 +1,28 @@
 """The order book without a global fold.
 
-What happens to an order depends only on its own records and on resets, so the state is folded per
-(session, reset epoch, order), in SQL; levels and best prices follow from the orders' intervals.
+What happens to an order depends only on its own records and on resets, so its state is a running fold
+over its records in one reset epoch. Levels change by what the orders' intervals add and take away; a
+session is cut into segments of batches, each opens with the levels that stand there, and so all
+segments are folded side by side. Folds stream over sorted rows and hold one order or one book only.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ranges import points_in_intervals
+from tapeloom.operators.ranges import bucket_of, points_in_intervals, running_total
 
-STATE = "struct<alive:boolean,side:string,price:bigint,qty:bigint,prio:bigint>"
 #: Ordinals that an order interval's join bucket spans.
 BUCKET = 4096
-END = (1 << 62) - 1
+#: Batches of a session that one fold of its levels covers.
+SEGMENT = 1024
+#: Rows that a fold sends on at once.
+CHUNK = 20_000
 
 
 def with_epoch(numbered: DataFrame, batches: DataFrame) -> DataFrame:
@@ -22,78 +30,145 @@ def with_epoch(numbered: DataFrame, batches: DataFrame) -> DataFrame:
     session has had, a record's own included."""
     init = batches.filter("kind = 'INITIALIZATION'").select("session_id", "batch_id", F.lit(True).alias("init"), F.col("first_ordinal").alias("opens"))
     rows = numbered.join(init, ["session_id", "batch_id"], "left")
-    reset = (F.col("action") == "R") | (F.coalesce("init", F.lit(False)) & (F.col("source_ordinal") == F.col("opens")))
-    w = Window.partitionBy("session_id").orderBy("source_ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("epoch", F.sum(reset.cast("long")).over(w)).drop("init", "opens")
-
-
-def _step(acc, r):
-    """One record on an order's state; the last field is the record's anomaly, if any."""
-    alive, qty = acc["state"]["alive"], acc["state"]["qty"]
-    none = F.lit(None).cast("string")
-    state = lambda a, side, price, q, prio: F.struct(a.alias("alive"), side.alias("side"), price.alias("price"), q.alias("qty"), prio.alias("prio"))
-    gone = state(F.lit(False), none, F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("long"))
-    left = qty - F.least(qty, r["quantity"])
-    cancelled = F.when(left == 0, gone).otherwise(state(F.lit(True), acc["state"]["side"], acc["state"]["price"], left, acc["state"]["prio"]))
-    back = (r["price_fixed"] != acc["state"]["price"]) | (r["quantity"] > qty)
-    modified = state(F.lit(True), acc["state"]["side"], r["price_fixed"], r["quantity"], F.when(back, r["source_ordinal"]).otherwise(acc["state"]["prio"]))
-    a, c, m = r["action"] == "A", r["action"] == "C", r["action"] == "M"
-    anomaly = (
-        F.when(a & ~r["side"].isin("A", "B"), "ADD_INVALID_SIDE").when(a & (r["quantity"] <= 0), "ADD_NONPOSITIVE_QTY").when(a & alive, "DUPLICATE_ADD")
-        .when(c & ~alive, "CANCEL_UNKNOWN").when(c & (r["quantity"] <= 0), "CANCEL_NONPOSITIVE_QTY").when(c & (r["quantity"] > qty), "CANCEL_OVER_QTY")
-        .when(m & (r["quantity"] <= 0), "MODIFY_NONPOSITIVE_QTY").when(m & ~alive, "MODIFY_UNKNOWN")
-    )
-    added = state(F.lit(True), r["side"], r["price_fixed"], r["quantity"], r["source_ordinal"])
-    after = F.when(anomaly.isNotNull() & (anomaly != "CANCEL_OVER_QTY"), acc["state"]).when(a, added).when(c, cancelled).when(m, modified).otherwise(acc["state"])
-    return after, anomaly
+    reset = ((F.col("action") == "R") | (F.coalesce("init", F.lit(False)) & (F.col("source_ordinal") == F.col("opens")))).cast("long")
+    counted = running_total(rows.withColumn("reset", reset), ["session_id"], "source_ordinal", "reset", "epoch")
+    return counted.withColumn("epoch", F.col("epoch") + F.col("reset")).drop("init", "opens", "reset")
+
+
+GONE = (False, None, None, 0, None)
+
+
+def _step(state: tuple, at: int, action: str, side: str | None, price: int | None, qty: int | None) -> tuple[tuple, str | None]:
+    """An order's (alive, side, price, quantity, priority) after one record, and the record's anomaly."""
+    alive, own_side, own_price, own_qty, priority = state
+    empty = qty is None or qty <= 0
+    if action == "A":
+        anomaly = "ADD_INVALID_SIDE" if side not in ("A", "B") else "ADD_NONPOSITIVE_QTY" if empty else "DUPLICATE_ADD" if alive else None
+        return (state if anomaly else (True, side, price, qty, at)), anomaly
+    if action == "C":
+        anomaly = "CANCEL_UNKNOWN" if not alive else "CANCEL_NONPOSITIVE_QTY" if empty else None
+        if anomaly:
+            return state, anomaly
+        left = own_qty - min(own_qty, qty)
+        return ((True, own_side, own_price, left, priority) if left else GONE), ("CANCEL_OVER_QTY" if qty > own_qty else None)
+    anomaly = "MODIFY_NONPOSITIVE_QTY" if empty else None if alive else "MODIFY_UNKNOWN"
+    back = price != own_price or (not empty and qty > own_qty)
+    return (state if anomaly else (True, own_side, price, qty, at if back else priority)), anomaly
+
+
+STATES = "session_id string, epoch bigint, order_id bigint, source_ordinal bigint, batch_id bigint, action string, alive boolean, side string, price_fixed bigint, quantity bigint, priority bigint, anomaly string"
+_STATES = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in STATES.split(", "))])
+
+
+def _fold_orders(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order, state = None, GONE
+    for part in parts:
+        columns = [part.column(n).to_pylist() for n in ("session_id", "epoch", "order_id", "source_ordinal", "batch_id", "action", "side", "price_fixed", "quantity")]
+        out = []
+        for *key, at, batch, action, side, price, qty in zip(*columns):
+            if key != order:
+                order, state = key, GONE
+            state, anomaly = _step(state, at, action, side, price, qty)
+            out.append((*key, at, batch, action, *state, anomaly))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _STATES)], schema=_STATES)
 
 
 def order_state(epochs: DataFrame) -> DataFrame:
     """(session_id, epoch, order_id, source_ordinal, batch_id, action, alive, side, price_fixed, quantity,
     priority, anomaly): each add, modify and cancel with the order's state after it.
 
-    The transition runs over an order's own records in one epoch, in order; CLEAR needs no row, as it
-    ends the epoch.
+    An order's records in one epoch come sorted to one task, which holds the order's state alone; CLEAR
+    needs no row, as it ends the epoch. A null side is invalid, a null quantity is not positive.
     """
-    own = epochs.filter(F.col("action").isin("A", "M", "C")).groupBy("session_id", "epoch", "order_id").agg(
-        F.sort_array(F.collect_list(F.struct("source_ordinal", "batch_id", "action", "side", "price_fixed", "quantity"))).alias("records")
-    )
-    start = F.struct(F.expr(f"cast(named_struct('alive', false, 'side', cast(null as string), 'price', cast(null as bigint), 'qty', 0L, 'prio', cast(null as bigint)) as {STATE})").alias("state"),
-                     F.expr(f"cast(array() as array<struct<at:bigint,state:{STATE},anomaly:string>>)").alias("out"))
-
-    def merge(acc, r):
-        after, anomaly = _step(acc, r)
-        after = after.cast(STATE)
-        row = F.struct(r["source_ordinal"].alias("at"), after.alias("state"), anomaly.alias("anomaly"))
-        return F.struct(after.alias("state"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = own.select("session_id", "epoch", "order_id", "records", F.aggregate("records", start, merge, lambda a: a["out"]).alias("out"))
-    each = folded.select("session_id", "epoch", "order_id", F.explode(F.arrays_zip("records", "out")).alias("x"))
-    return each.select("session_id", "epoch", "order_id", "x.records.source_ordinal", "x.records.batch_id", "x.records.action", "x.out.state.alive", "x.out.state.side",
-                       F.col("x.out.state.price").alias("price_fixed"), F.col("x.out.state.qty").alias("quantity"), F.col("x.out.state.prio").alias("priority"), "x.out.anomaly")
+    own = epochs.filter(F.col("action").isin("A", "M", "C")).select("session_id", F.col("epoch").cast("long").alias("epoch"), "order_id", "source_ordinal", "batch_id", "action", "side", "price_fixed", "quantity")
+    key = ["session_id", "epoch", "order_id"]
+    return own.repartition(*key).sortWithinPartitions(*key, "source_ordinal").mapInArrow(_fold_orders, STATES)
 
 
 def order_intervals(states: DataFrame, epochs: DataFrame) -> DataFrame:
-    """(session_id, order_id, side, price_fixed, quantity, priority, ord_from, ord_to): while an order
-    rests unchanged, [ord_from, ord_to) in ordinals. A reset ends it."""
-    nxt = F.lead("source_ordinal").over(Window.partitionBy("session_id", "epoch", "order_id").orderBy("source_ordinal"))
-    ends = epochs.groupBy("session_id", F.col("epoch")).agg(F.min("source_ordinal").alias("reset_at")).select("session_id", (F.col("epoch") - 1).alias("epoch"), "reset_at")
+    """(session_id, order_id, side, price_fixed, quantity, priority, ord_from, ord_to, batch_from,
+    batch_to): while an order rests unchanged, [ord_from, ord_to) in ordinals, and the batches of both
+    ends. A reset ends it; at a session's end batch_to is null."""
+    nxt = F.lead(F.struct(F.col("source_ordinal").alias("at"), "batch_id")).over(Window.partitionBy("session_id", "epoch", "order_id").orderBy("source_ordinal"))
+    first = F.min(F.struct(F.col("source_ordinal").alias("at"), "batch_id")).alias("reset_at")
+    ends = epochs.groupBy("session_id", "epoch").agg(first).select("session_id", (F.col("epoch") - 1).alias("epoch"), "reset_at")
     last = epochs.groupBy("session_id").agg((F.max("source_ordinal") + 1).alias("session_end"))
     rows = states.withColumn("nxt", nxt).join(ends, ["session_id", "epoch"], "left").join(last, "session_id").filter("alive")
-    return rows.select("session_id", "order_id", "side", "price_fixed", "quantity", "priority", F.col("source_ordinal").alias("ord_from"), F.coalesce("nxt", "reset_at", "session_end").alias("ord_to"))
+    return rows.select("session_id", "order_id", "side", "price_fixed", "quantity", "priority", F.col("source_ordinal").alias("ord_from"), F.coalesce("nxt.at", "reset_at.at", "session_end").alias("ord_to"),
+                       F.col("batch_id").alias("batch_from"), F.coalesce("nxt.batch_id", "reset_at.batch_id").alias("batch_to"))
 
 
 def resting_at(intervals: DataFrame, batches: DataFrame) -> DataFrame:
-    """Orders that rest after each batch's last record."""
+    """Orders that rest after each batch's last record, for what needs each order; levels don't."""
     points = batches.select("session_id", "batch_id", F.col("last_ordinal").alias("at"))
-    return points_in_intervals(points, intervals, ["session_id"], "at", "ord_from", "ord_to", BUCKET)
-
-
-def level_depth(resting: DataFrame) -> DataFrame:
-    """(session_id, batch_id, side, price_fixed, quantity, n_orders, level): level 1 is the best."""
-    levels = resting.groupBy("session_id", "batch_id", "side", "price_fixed").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("n_orders"))
-    best_first = F.when(F.col("side") == "B", -F.col("price_fixed")).otherwise(F.col("price_fixed"))
-    return levels.withColumn("level", F.row_number().over(Window.partitionBy("session_id", "batch_id", "side").orderBy(best_first)))
+    return points_in_intervals(points, intervals.drop("batch_from", "batch_to"), ["session_id"], "at", "ord_from", "ord_to", BUCKET)
+
+
+def level_changes(intervals: DataFrame) -> DataFrame:
+    """(session_id, batch_id, side, price_fixed, quantity, n_orders): what each batch adds to a level."""
+    ends = F.explode(F.array(F.struct(F.col("batch_from").alias("batch_id"), F.col("quantity").alias("quantity"), F.lit(1).alias("n")), F.struct(F.col("batch_to").alias("batch_id"), (-F.col("quantity")).alias("quantity"), F.lit(-1).alias("n"))))
+    rows = intervals.select("session_id", "side", "price_fixed", ends.alias("e")).filter("e.batch_id is not null")
+    found = rows.groupBy("session_id", F.col("e.batch_id").alias("batch_id"), "side", "price_fixed").agg(F.sum("e.quantity").alias("quantity"), F.sum("e.n").alias("n_orders"))
+    return found.filter("quantity <> 0 or n_orders <> 0")
+
+
+DEPTH = "session_id string, batch_id bigint, side string, price_fixed bigint, quantity bigint, n_orders bigint, level int"
+_DEPTH = pa.schema([("session_id", pa.string()), ("batch_id", pa.int64()), ("side", pa.string()), ("price_fixed", pa.int64()), ("quantity", pa.int64()), ("n_orders", pa.int64()), ("level", pa.int32())])
+
+
+def _fold_levels(top: int | None):
+    def rows_out(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _DEPTH)], schema=_DEPTH)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, out = None, []
+        levels: dict = {}
+        best: dict = {}
+        for part in parts:
+            columns = [part.column(n).to_pylist() for n in ("session_id", "segment", "batch_id", "side", "price_fixed", "quantity", "n_orders")]
+            for session, number, batch, side, price, qty, n in zip(*columns):
+                if (session, number) != segment:
+                    segment, levels, best = (session, number), {}, {"A": [], "B": []}
+                if side is None:
+                    for s, ranked in best.items():
+                        for k, r in enumerate(ranked[:top]):
+                            p = -r if s == "B" else r
+                            out.append((session, batch, s, p, *levels[s, p], k + 1))
+                    if len(out) >= CHUNK:
+                        yield rows_out(out)
+                        out = []
+                    continue
+                rank, held = (-price if side == "B" else price), levels.get((side, price))
+                qty, n = (qty + held[0], n + held[1]) if held else (qty, n)
+                if held is None:
+                    insort(best[side], rank)
+                levels[side, price] = (qty, n)
+                if n == 0:
+                    del levels[side, price], best[side][bisect_left(best[side], rank)]
+        if out:
+            yield rows_out(out)
+
+    return run
+
+
+def level_depth(changes: DataFrame, batches: DataFrame, top: int | None = None) -> DataFrame:
+    """(session_id, batch_id, side, price_fixed, quantity, n_orders, level): the ``top`` levels (None:
+    all) after each batch; level 1 is the best.
+
+    Rows that meet are the changes, the levels that stand where a segment opens, and the batches.
+    """
+    cut = lambda df: df.withColumn("segment", bucket_of("batch_id", SEGMENT))
+    sums = cut(changes).groupBy("session_id", "side", "price_fixed", "segment").agg(F.sum("quantity").alias("q"), F.sum("n_orders").alias("n"))
+    w = Window.partitionBy("session_id", "side", "price_fixed").orderBy("segment")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = cut(batches).groupBy("session_id").agg(F.max("segment").alias("last"))
+    stands = sums.select("session_id", "side", "price_fixed", F.col("segment").alias("from"), F.lead("segment").over(w).alias("next"), F.sum("q").over(upto).alias("quantity"), F.sum("n").over(upto).alias("n_orders"))
+    stands = stands.filter("n_orders > 0").join(last, "session_id").withColumn("to", F.coalesce("next", "last")).filter("from < to")
+    opening = stands.select("session_id", F.explode(F.sequence(F.col("from") + 1, F.col("to"))).alias("segment"), F.lit(-1).cast("long").alias("batch_id"), "side", "price_fixed", "quantity", "n_orders")
+    rows = opening.unionByName(cut(changes)).unionByName(cut(batches.select("session_id", "batch_id")), allowMissingColumns=True)
+    sorted_rows = rows.repartition("session_id", "segment").sortWithinPartitions("session_id", "segment", "batch_id", F.col("side").asc_nulls_last())
+    return sorted_rows.mapInArrow(_fold_levels(top), DEPTH)
 
 
 def best_quotes(batches: DataFrame, depth: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ FEATURES = ["imbalance_1", "imbalance_3", "spread_ticks", "depth_bid_3", "depth_
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of each valid quote and the direction of the next one's mid."""
-    q = Market(spark, sf_dir, settle=True).quotes.filter("mid2 is not null")
+    q = Market(spark, sf_dir).quotes.filter("mid2 is not null")
     later = F.lead("mid2", 3).over(Window.partitionBy("session_id").orderBy("batch_id"))
     return q.select("session_id", "batch_id", "imbalance_1", "imbalance_3", ((F.col("ask_price") - F.col("bid_price")) / TICK).alias("spread_ticks"), F.col("depth_bid_3").cast("double").alias("depth_bid_3"), F.col("depth_ask_3").cast("double").alias("depth_ask_3"), F.signum((later - F.col("mid2")).cast("double")).cast("int").alias("label"))
 
@@ -44,7 +44,7 @@ def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def action_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Miss and cost of holding and of switching, for each scenario, from the worlds' outcomes."""
-    out = _outcomes(Market(spark, sf_dir, settle=True)).filter("deadline_cost_ticks is not null and policy_id <> 'B0'")
+    out = _outcomes(Market(spark, sf_dir)).filter("deadline_cost_ticks is not null and policy_id <> 'B0'")
     side, slow = F.when(F.col("task_id").endswith("B"), 1.0).otherwise(-1.0), (F.col("scenario_id") == "L6").cast("double")
     rows = out.select("policy_id", (F.col("status") == "DEADLINE_MISS").cast("int").alias("miss"), "deadline_cost_ticks", side.alias("side"), slow.alias("slow")).checkpoint()
     frames = []

@@ -32,9 +32,9 @@ def _settled(df: DataFrame) -> DataFrame:
 
 class Market:
     """The tables that a session's records give, each built from the one before. With ``settle`` those
-    that are read often are written once."""
+    that are read often are written once; without, a plan that reads one twice computes it twice."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = True):
         self.spark, self.records = spark, tape(spark, sf_dir)
         keep = _settled if settle else lambda df: df
         self.numbered = keep(B.number_batches(self.records))
@@ -48,7 +48,7 @@ class Market:
 
     @property
     def epochs(self) -> DataFrame:
-        return book.with_epoch(self.numbered, self.batches)
+        return self._once("epochs", lambda: book.with_epoch(self.numbered, self.batches))
 
     @property
     def states(self) -> DataFrame:
@@ -62,9 +62,13 @@ class Market:
     def resting(self) -> DataFrame:
         return book.resting_at(self.intervals, self.batches)
 
+    def depth(self, top: int | None = None) -> DataFrame:
+        changes = self._once("changes", lambda: book.level_changes(self.intervals))
+        return book.level_depth(changes, self.batches, top)
+
     @property
     def quotes(self) -> DataFrame:
-        return self._once("quotes", lambda: book.best_quotes(self.batches, book.level_depth(self.resting)))
+        return self._once("quotes", lambda: book.best_quotes(self.batches, self.depth(3)))
 
     @property
     def evidence(self) -> DataFrame:
@@ -180,14 +184,14 @@ def _outcomes(m: Market) -> DataFrame:
 
 
 QUERIES = {
-    "batch_assembly": lambda s, d: Market(s, d).batches.select("session_id", "batch_id", "n_records", "proxy_time_ns", "capture_time_ns", "kind"),
-    "batch_quality_flags": lambda s, d: Market(s, d).batches.groupBy("kind", "quality_flags").agg(F.count("*").alias("n_batches"), F.sum("n_records").alias("n_records")),
+    "batch_assembly": lambda s, d: Market(s, d, settle=False).batches.select("session_id", "batch_id", "n_records", "proxy_time_ns", "capture_time_ns", "kind"),
+    "batch_quality_flags": lambda s, d: Market(s, d, settle=False).batches.groupBy("kind", "quality_flags").agg(F.count("*").alias("n_batches"), F.sum("n_records").alias("n_records")),
     "duplicate_records": duplicates,
     "overlapping_windows": overlaps,
-    "execution_groups": lambda s, d: Market(s, d).evidence,
+    "execution_groups": lambda s, d: Market(s, d, settle=False).evidence,
     "order_state": lambda s, d: Market(s, d).states.drop("anomaly", "batch_id"),
     "book_anomalies": lambda s, d: Market(s, d).states.filter("anomaly is not null").groupBy("session_id", "anomaly").agg(F.count("*").alias("n"), F.min("source_ordinal").alias("first_ordinal")),
-    "level_depth": lambda s, d: book.level_depth(Market(s, d).resting).filter("level <= 10"),
+    "level_depth": lambda s, d: Market(s, d).depth(10),
     "best_quotes": lambda s, d: Market(s, d).quotes.drop("depth_bid_3", "depth_ask_3", "imbalance_1", "imbalance_3"),
     "imbalance_depth": lambda s, d: Market(s, d).quotes.select("session_id", "batch_id", "depth_bid_3", "depth_ask_3", F.round("imbalance_1", 9).alias("imbalance_1"), F.round("imbalance_3", 9).alias("imbalance_3")),
     "queue_ahead": lambda s, d: book.queue_ahead(Market(s, d).resting),
@@ -195,19 +199,19 @@ QUERIES = {
     "asof_state": lambda s, d: (lambda m: asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"]))(Market(s, d)),
     "asof_last_valid": lambda s, d: (lambda m: asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2"))(Market(s, d)),
     "asof_shifted": lambda s, d: (lambda m: T.shifted_asof(m.grid, m.client_mids).drop("sample_time"))(Market(s, d)),
-    "true_cancels": lambda s, d: _flows(Market(s, d)),
-    "trailing_flow": lambda s, d: flow.trailing_flow(_flows(Market(s, d)), HOUR),
+    "true_cancels": lambda s, d: _flows(Market(s, d, settle=False)),
+    "trailing_flow": lambda s, d: flow.trailing_flow(_flows(Market(s, d, settle=False)), HOUR),
     "mid_vol_change": lambda s, d: (lambda x: flow.mid_moves(x.filter("mid2 is not null").select("session_id", "batch_id", "obs_ns", "mid2"), 5 * HOUR, HOUR).withColumn("mid_vol", F.round("mid_vol", 9)))(Market(s, d).live_quotes),
     "quote_age": lambda s, d: flow.quote_age(Market(s, d).live_quotes).withColumn("quote_age_ms", F.round("quote_age_ms", 6)),
-    "quality_intervals": lambda s, d: quality.invalid_intervals(Market(s, d, settle=True).judged),
-    "unevaluable_tasks": lambda s, d: (lambda m: quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged))(Market(s, d, settle=True)),
-    "arrival_grid": lambda s, d: Market(s, d).grid,
-    "task_manifest": lambda s, d: (lambda m: T.task_manifest(m.grid, m.mids, m.client_mids))(Market(s, d, settle=True)),
+    "quality_intervals": lambda s, d: quality.invalid_intervals(Market(s, d).judged),
+    "unevaluable_tasks": lambda s, d: (lambda m: quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged))(Market(s, d)),
+    "arrival_grid": lambda s, d: Market(s, d, settle=False).grid,
+    "task_manifest": lambda s, d: (lambda m: T.task_manifest(m.grid, m.mids, m.client_mids))(Market(s, d)),
     "price_labels": lambda s, d: (lambda m: T.price_labels(m.grid, m.mids, HOUR // 2))(Market(s, d)),
-    "markouts": lambda s, d: _markouts(Market(s, d, settle=True)),
-    "worlds": lambda s, d: _worlds(Market(s, d, settle=True)),
-    "world_outcomes": lambda s, d: _outcomes(Market(s, d, settle=True)),
-    "markout_summary": lambda s, d: T.summarize_markouts(_markouts(Market(s, d, settle=True)), ["side", "horizon_ns"]).withColumns({"mean_markout_ticks": F.round("mean_markout_ticks", 9), "median_markout_ticks": F.round("median_markout_ticks", 9)}),
+    "markouts": lambda s, d: _markouts(Market(s, d)),
+    "worlds": lambda s, d: _worlds(Market(s, d)),
+    "world_outcomes": lambda s, d: _outcomes(Market(s, d)),
+    "markout_summary": lambda s, d: T.summarize_markouts(_markouts(Market(s, d)), ["side", "horizon_ns"]).withColumns({"mean_markout_ticks": F.round("mean_markout_ticks", 9), "median_markout_ticks": F.round("median_markout_ticks", 9)}),
 }
 
 _FLOW = """flows as (

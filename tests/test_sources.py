@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import batches as B
-from tapeloom.operators import book
+from tapeloom.operators import book, ranges
 from tapeloom.plans.market import Market
 from tapeloom.sources import sessions
 from tapeloom.sources.schemas import RECORDS
@@ -56,8 +56,8 @@ def test_best_quotes_equal_a_plain_fold(spark):
     numbered = B.number_batches(rows)
     batches = B.assemble(numbered)
     epochs = book.with_epoch(numbered, batches)
-    resting = book.resting_at(book.order_intervals(book.order_state(epochs), epochs), batches)
-    got = book.best_quotes(batches, book.level_depth(resting)).orderBy("batch_id").collect()
+    changes = book.level_changes(book.order_intervals(book.order_state(epochs), epochs))
+    got = book.best_quotes(batches, book.level_depth(changes, batches)).orderBy("batch_id").collect()
     assert [(r.bid_price, r.bid_qty, r.ask_price, r.ask_qty) for r in got] == want
 
 
@@ -83,3 +83,28 @@ def test_session_folder(spark, tmp_path):
         crc.unlink()
     with pytest.raises(ValueError, match="checksums"):
         sessions.verify_session(spark, d)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 1024])
+def test_levels_by_segments_are_those_of_resting_orders(spark, monkeypatch, segment):
+    """Levels carried from one segment to the next, against a plain sum over the orders at each batch."""
+    monkeypatch.setattr(book, "SEGMENT", segment)
+    m = Market(spark, "/root/testdata/sf0.001")
+    want = {}
+    for r in m.resting.filter("session_id < '2024-01-04'").collect():
+        q, n = want.get((r.session_id, r.batch_id, r.side, r.price_fixed), (0, 0))
+        want[r.session_id, r.batch_id, r.side, r.price_fixed] = (q + r.quantity, n + 1)
+    found = [r for r in m.depth().filter("session_id < '2024-01-04'").collect()]
+    assert want and {(r.session_id, r.batch_id, r.side, r.price_fixed): (r.quantity, r.n_orders) for r in found} == want
+    sides = {}
+    for r in sorted(found, key=lambda r: r.level):
+        sides.setdefault((r.session_id, r.batch_id, r.side), []).append((r.level, r.price_fixed))
+    for (_, _, side), ranked in sides.items():
+        assert ranked == list(enumerate(sorted((p for _, p in ranked), reverse=side == "B"), 1))
+
+
+def test_running_totals_over_ranges(spark):
+    rows = [("a" if k % 3 else "b", 7 * k - 50, k % 4) for k in range(60)]
+    df = spark.createDataFrame(rows, "s string, o long, v long")
+    got = {(r.s, r.o): r.t for r in ranges.running_total(df, ["s"], "o", "v", "t", width=16).collect()}
+    assert got == {(s, o): sum(v for z, p, v in rows if z == s and p < o) for s, o, _ in rows}

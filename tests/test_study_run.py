@@ -34,7 +34,7 @@ def test_failed_study_has_no_report(spark, tmp_path):
 
 def test_invariants(spark):
     m = Market(spark, SF)
-    assert invariants.broken_levels(book.level_depth(m.resting)).count() == 0
+    assert invariants.broken_levels(m.depth()).count() == 0
     assert {r.what for r in invariants.tallies(m.batches, m.states.filter("anomaly is not null")).collect()} == {"batch", "flag", "anomaly"}
 
 
