@@ -55,6 +55,11 @@ def limit_offset(side: Column, limit: Column, touch: Column, tick: int = TICK) -
     return side * (touch - limit) / tick
 
 
+def tick_aligned(price: Column, tick: int = TICK) -> Column:
+    """Whether a price is a whole number of ticks; of negative prices too."""
+    return F.pmod(price, F.lit(tick)) == 0
+
+
 def checkpoint_eligibility(status: Column, pending: Column, cancel_pending: Column, rejected: Column, controller: Column, executed: Column) -> Column:
     """What a policy may decide at its checkpoint; the first rule that fits."""
     return (

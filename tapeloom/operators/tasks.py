@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.asof import asof
+from tapeloom.operators.worlds import guard_ns
 from tapeloom.sources.schemas import LATENCY, TICK
 
 WARMUP_NS = DRAIN_NS = 1_000_000_000
@@ -22,10 +25,29 @@ def arrival_grid(sessions: DataFrame, horizon_ns: int) -> DataFrame:
     return at.select("session_id", F.col("k").cast("long").alias("k"), "arrival_ns", (F.col("arrival_ns") + horizon_ns).alias("deadline_ns"))
 
 
+def valid_horizons(ladder: Iterable[int], scenarios: Iterable[str]) -> list[int]:
+    """Horizons of which half is more than the largest guard of the scenarios, in whole nanoseconds."""
+    guard = max(guard_ns(*LATENCY[s][1:]) for s in scenarios)
+    return [h for h in ladder if h > 2 * guard]
+
+
+def delivery_probes(grid: DataFrame) -> DataFrame:
+    """(session_id, k, scenario_id, at_ns): each arrival, less the delivery delay of each latency scenario."""
+    scenarios = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario_id"), F.lit(v[0] * 1000).cast("long").alias("delay")) for k, v in LATENCY.items())))
+    return grid.withColumn("s", scenarios).select("session_id", "k", "s.scenario_id", (F.col("arrival_ns") - F.col("s.delay")).alias("at_ns"))
+
+
+def status_at(probes: DataFrame, at: str, statuses: DataFrame, time: str) -> DataFrame:
+    """``probes`` with the ``status`` of the last of ``statuses`` (session_id, seq, status and ``time``)
+    at or before ``at``; before any a session trades. The market's plane goes by event time and
+    batch time, the client's by capture time and the probe's time less the delivery delay."""
+    found = asof(probes, statuses, ["session_id"], at, time, "seq", ["status"]).drop("sample_time")
+    return found.withColumn("status", F.coalesce("status", F.lit("TRADING")))
+
+
 def shifted_asof(grid: DataFrame, client_mids: DataFrame) -> DataFrame:
     """The client's mid at each arrival, less the delivery delay of each latency scenario."""
-    scenarios = F.explode(F.array(*(F.struct(F.lit(k).alias("scenario_id"), F.lit(v[0] * 1000).cast("long").alias("delay")) for k, v in LATENCY.items())))
-    probes = grid.withColumn("s", scenarios).select("session_id", "k", "s.scenario_id", (F.col("arrival_ns") - F.col("s.delay")).alias("at_ns"))
+    probes = delivery_probes(grid)
     return asof(probes, client_mids, ["session_id"], "at_ns", "t", "seq", ["mid2"])
 
 

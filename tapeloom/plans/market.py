@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,10 +90,13 @@ class Market:
         times = self.batches.select("session_id", "batch_id", "capture_time_ns")
         return self.quotes.join(times, ["session_id", "batch_id"]).select("session_id", F.col("capture_time_ns").alias("t"), F.col("batch_id").alias("seq"), "mid2")
 
+    def grid_of(self, horizon_ns: int) -> DataFrame:
+        sessions = self.records.groupBy("session_id").agg(F.min("event_time_ns").alias("start_ns"), F.max("event_time_ns").alias("end_ns"))
+        return T.arrival_grid(sessions, horizon_ns)
+
     @property
     def grid(self) -> DataFrame:
-        sessions = self.records.groupBy("session_id").agg(F.min("event_time_ns").alias("start_ns"), F.max("event_time_ns").alias("end_ns"))
-        return T.arrival_grid(sessions, HOUR)
+        return self.grid_of(HOUR)
 
     @property
     def live_quotes(self) -> DataFrame:
@@ -102,15 +106,22 @@ class Market:
 
 SQL = f"with recursive {TAPE_SQL}, {B.BATCH_SQL}"
 BOOK = f"{SQL}, {book.BOOK_SQL}"
-GRID = f"""{BOOK},
+
+
+def _grid_sql(horizon: int) -> str:
+    gap = max(10_000_000_000, 2 * horizon)
+    return f"""{BOOK},
 sessions as (select session_id, min(event_time_ns) as start_ns, max(event_time_ns) as end_ns from tape group by 1),
-phased as (select session_id, start_ns + 1000000000 + cast('0x' || substr(sha256(session_id), 1, 8) as bigint) % {2 * HOUR} as first, end_ns - {HOUR} - 1000000000 as final from sessions),
-grid as (select session_id, k, first + k * {2 * HOUR} as arrival_ns, first + k * {2 * HOUR} + {HOUR} as deadline_ns
-  from (select session_id, first, unnest(range(0, (final - first) // {2 * HOUR} + 1)) as k from phased where first <= final)),
+phased as (select session_id, start_ns + 1000000000 + cast('0x' || substr(sha256(session_id), 1, 8) as bigint) % {gap} as first, end_ns - {horizon} - 1000000000 as final from sessions),
+grid as (select session_id, k, first + k * {gap} as arrival_ns, first + k * {gap} + {horizon} as deadline_ns
+  from (select session_id, first, unnest(range(0, (final - first) // {gap} + 1)) as k from phased where first <= final)),
 mids as (select session_id, proxy_time_ns as t, batch_id as seq, mid2 from quotes),
 client as (select q.session_id, b.capture_time_ns as t, q.batch_id as seq, q.mid2 from quotes q join batches b using (session_id, batch_id))"""
 
 
+GRID = _grid_sql(HOUR)
+
+
 def _last(source: str, probe: str, at: str, valid: bool = False) -> str:
     """The oracle's as-of: a lateral look back."""
     return f"""left join lateral (select m.mid2, m.t from {source} m where m.session_id = {probe}.session_id and m.t <= {at}
@@ -162,25 +173,59 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.overlapping_windows(windows)
 
 
-def _worlds(m: Market) -> DataFrame:
+def _sided(grid: DataFrame) -> DataFrame:
+    """Both tasks of each arrival; a grid of several horizons names them too."""
+    names = ["session_id", "k", "side", *(c for c in grid.columns if c == "horizon_ns")]
+    return grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).withColumn("task_id", F.concat_ws(":", *names))
+
+
+def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), policies=W.POLICIES) -> DataFrame:
     """Every arrival's two tasks under each policy, in the primary and the slowest scenario."""
-    tasks = m.grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "session_id", "side", "arrival_ns", "deadline_ns")
+    tasks = _sided(m.grid if grid is None else grid).select("task_id", "session_id", "side", "arrival_ns", "deadline_ns")
     times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
     quotes = m.quotes.join(times, ["session_id", "batch_id"])
     pick = lambda t, *more: quotes.select("session_id", F.col(t).alias("t"), F.col("batch_id").alias("seq"), "bid_price", "ask_price", *more)
     intervals = m.intervals
     resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
     fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
-    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, ("L1", "L6"), keep=m.keep)
+    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios, policies, keep=m.keep)
 
 
-def _outcomes(m: Market) -> DataFrame:
+def _outcomes(m: Market, grid: DataFrame | None = None, **of) -> DataFrame:
     """Costs against the market's mid at arrival, with quality verdicts."""
-    at = asofs.asof(_tasks(m), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumnRenamed("mid2", "m0_mid2").drop("sample_time")
-    end = asofs.asof(at, m.mids, ["session_id"], "deadline_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A"))))
-    named = end.select(F.concat_ws(":", "session_id", "k", "side").alias("task_id"), "m0_mid2", F.col("mid2").alias("m_t_mid2"))
-    verdicts = quality.unevaluable(_tasks(m), quality.invalid_intervals(m.judged), m.judged).filter("reason is not null")
-    return W.outcomes(_worlds(m), named.select("task_id", "m0_mid2"), verdicts, named.select("task_id", "m_t_mid2"))
+    grid = m.grid if grid is None else grid
+    at = asofs.asof(grid, m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2").withColumnRenamed("mid2", "m0_mid2").drop("sample_time")
+    end = asofs.asof(at, m.mids, ["session_id"], "deadline_ns", "t", "seq", ["mid2"], skip_null="mid2")
+    named = _sided(end).select("task_id", "m0_mid2", F.col("mid2").alias("m_t_mid2"))
+    probes = grid.select("session_id", "k", "arrival_ns", "deadline_ns")
+    verdicts = quality.unevaluable(probes, quality.invalid_intervals(m.judged), m.judged).filter("reason is not null")
+    return W.outcomes(_worlds(m, grid, **of), named.select("task_id", "m0_mid2"), verdicts, named.select("task_id", "m_t_mid2"))
+
+
+#: Horizons beside the primary one; the first is too short for a checkpoint under the slowest scenario.
+LADDER = (20_000_000, HOUR // 2, HOUR, 2 * HOUR)
+OTHERS = [h for h in T.valid_horizons(LADDER, ("L1", "L6")) if h != HOUR]
+
+
+def _sensitivity(m: Market) -> DataFrame:
+    """Every task's outcome at the other valid horizons, policies without models, primary scenario."""
+    grids = [m.grid_of(h).withColumn("horizon_ns", F.lit(h).cast("long")) for h in OTHERS]
+    grid = m.keep(functools.reduce(DataFrame.unionByName, grids))
+    found = _outcomes(m, grid, scenarios=("L1",), policies=("B0", "B1"))
+    return found.select(F.substring_index("task_id", ":", -1).cast("long").alias("horizon_ns"), F.regexp_replace("task_id", ":[0-9]+$", "").alias("task_id"), "policy_id", "status", "is_ticks", "deadline_cost_ticks")
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading states of the tape: some of its events halt a session, others resume it."""
+    ns = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts as timestamp_ntz))") * 1000
+    rows = load(spark, sf_dir, "events").filter("event_id % 5 = 0 and event_type in ('error', 'signup')")
+    status = F.when(F.col("event_type") == "error", "HALTED").otherwise("TRADING")
+    return rows.select(F.col("ts").cast("date").cast("string").alias("session_id"), F.col("event_id").alias("seq"), status.alias("status"), ns.alias("event_time_ns"), (ns + 2_000_000).alias("capture_time_ns"))
+
+
+def _client_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probes = T.delivery_probes(Market(spark, sf_dir, settle=False).grid)
+    return T.status_at(probes, "at_ns", _statuses(spark, sf_dir), "capture_time_ns")
 
 
 QUERIES = {
@@ -209,6 +254,9 @@ QUERIES = {
     "task_manifest": lambda s, d: (lambda m: T.task_manifest(m.grid, m.mids, m.client_mids))(Market(s, d)),
     "price_labels": lambda s, d: (lambda m: T.price_labels(m.grid, m.mids, HOUR // 2))(Market(s, d)),
     "markouts": lambda s, d: _markouts(Market(s, d)),
+    "batch_status": lambda s, d: T.status_at(Market(s, d, settle=False).batches.select("session_id", "batch_id", "proxy_time_ns"), "proxy_time_ns", _statuses(s, d), "event_time_ns"),
+    "client_status": _client_status,
+    "horizon_sensitivity": lambda s, d: _sensitivity(Market(s, d)),
     "worlds": lambda s, d: _worlds(Market(s, d)),
     "world_outcomes": lambda s, d: _outcomes(Market(s, d)),
     "markout_summary": lambda s, d: T.summarize_markouts(_markouts(Market(s, d)), ["side", "horizon_ns"]).withColumns({"mean_markout_ticks": F.round("mean_markout_ticks", 9), "median_markout_ticks": F.round("median_markout_ticks", 9)}),
@@ -226,6 +274,28 @@ _FLOW = """flows as (
 _LIVE = "live as (select q.*, b.capture_time_ns as obs_ns from quotes q join batches b using (session_id, batch_id) where b.kind = 'LIVE')"
 _FRAME = "range between {} preceding and current row"
 
+def _outcomes_sql(grid: str) -> str:
+    return f"""{grid}, {B.EVIDENCE_SQL}, {quality.QUALITY_SQL}, {W.WORLDS_SQL},
+      priced as (
+        select w.*, case when side = 'B' then 1 else -1 end as s, coalesce(exec_ns <= deadline_ns, false) as done, a.mid2 as m0, z.mid2 as mt, {UNEVALUABLE.format(w='w', lo='w.arrival_ns', hi='w.deadline_ns')} as bad_reason
+        from worlds w left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.arrival_ns and m.mid2 is not null order by t desc, seq desc limit 1) a on true
+          left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.deadline_ns and m.mid2 is not null order by t desc, seq desc limit 1) z on true),
+      judged2 as (select *, case when bad_reason is not null or reset then 'TECHNICALLY_UNEVALUABLE' when done then 'COMPLETED_ON_TIME' else 'DEADLINE_MISS' end as status from priced)
+      select task_id, policy_id, scenario_id, status, checkpoint_eligible, case when done then exec_ns end as completion_ns, case when done then exec_price end as price_fixed, case when done then mechanism end as mechanism,
+        case when status = 'COMPLETED_ON_TIME' then s * (2 * exec_price - m0) / 500000000.0 end::double as is_ticks,
+        case when status <> 'TECHNICALLY_UNEVALUABLE' then case when done then s * (2 * exec_price - m0) / 500000000.0 else s * (mt - m0) / 500000000.0 end end::double as deadline_cost_ticks,
+        coalesce(bad_reason, case when reset then 'OVERLAY_TECHNICAL_RESET' end) as reason from judged2"""
+
+
+_STATUS = """statuses as (select cast(ts::date as varchar) as session_id, event_id as seq, case when event_type = 'error' then 'HALTED' else 'TRADING' end as status,
+    epoch_us(ts) * 1000 as event_time_ns, epoch_us(ts) * 1000 + 2000000 as capture_time_ns from events where event_id % 5 = 0 and event_type in ('error', 'signup'))"""
+
+
+def _status_sql(probe: str, at: str, time: str) -> str:
+    return f"""select p.*, coalesce(l.status, 'TRADING') as status from {probe} p
+      left join lateral (select status from statuses s where s.session_id = p.session_id and s.{time} <= p.{at} order by s.{time} desc, s.seq desc limit 1) l on true"""
+
+
 ORACLE_SQL = {
     "batch_assembly": f"{SQL} select session_id, batch_id, n_records, proxy_time_ns, capture_time_ns, kind from batches",
     "batch_quality_flags": f"{SQL} select kind, quality_flags, count(*)::bigint as n_batches, sum(n_records)::bigint as n_records from batches group by 1, 2",
@@ -267,16 +337,12 @@ ORACLE_SQL = {
       select session_id, k, case when arrival_ns + {HOUR // 2} <= (select max(t) from mids m where m.session_id = later.session_id) then sign(mid2 - mid_now) end::int as label from later""",
     "markouts": f"{MARKOUT_SQL} select * from markouts",
     "worlds": f"{GRID}, {B.EVIDENCE_SQL}, {W.WORLDS_SQL} select * from worlds",
-    "world_outcomes": f"""{GRID}, {B.EVIDENCE_SQL}, {quality.QUALITY_SQL}, {W.WORLDS_SQL},
-      priced as (
-        select w.*, case when side = 'B' then 1 else -1 end as s, coalesce(exec_ns <= deadline_ns, false) as done, a.mid2 as m0, z.mid2 as mt, {UNEVALUABLE.format(w='w', lo='w.arrival_ns', hi='w.deadline_ns')} as bad_reason
-        from worlds w left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.arrival_ns and m.mid2 is not null order by t desc, seq desc limit 1) a on true
-          left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.deadline_ns and m.mid2 is not null order by t desc, seq desc limit 1) z on true),
-      judged2 as (select *, case when bad_reason is not null or reset then 'TECHNICALLY_UNEVALUABLE' when done then 'COMPLETED_ON_TIME' else 'DEADLINE_MISS' end as status from priced)
-      select task_id, policy_id, scenario_id, status, checkpoint_eligible, case when done then exec_ns end as completion_ns, case when done then exec_price end as price_fixed, case when done then mechanism end as mechanism,
-        case when status = 'COMPLETED_ON_TIME' then s * (2 * exec_price - m0) / 500000000.0 end::double as is_ticks,
-        case when status <> 'TECHNICALLY_UNEVALUABLE' then case when done then s * (2 * exec_price - m0) / 500000000.0 else s * (mt - m0) / 500000000.0 end end::double as deadline_cost_ticks,
-        coalesce(bad_reason, case when reset then 'OVERLAY_TECHNICAL_RESET' end) as reason from judged2""",
+    "world_outcomes": _outcomes_sql(GRID),
+    "horizon_sensitivity": " union all ".join(f"""select {h}::bigint as horizon_ns, task_id, policy_id, status, is_ticks, deadline_cost_ticks
+      from ({_outcomes_sql(_grid_sql(h))}) where policy_id in ('B0', 'B1') and scenario_id = 'L1'""" for h in OTHERS),
+    "batch_status": f"{SQL}, {_STATUS}, probes as (select session_id, batch_id, proxy_time_ns from batches) {_status_sql('probes', 'proxy_time_ns', 'event_time_ns')}",
+    "client_status": f"""{GRID}, {_STATUS}, probes as (select session_id, k, 'L' || n as scenario_id, arrival_ns - case when n in (2, 6) then 1000000 else 0 end as at_ns from grid, range(0, 7) r(n))
+      {_status_sql('probes', 'at_ns', 'capture_time_ns')}""",
     "markout_summary": f"""{MARKOUT_SQL} select side, horizon_ns, count(*)::bigint as n_completed, count(markout_ticks)::bigint as n_defined, count(*) filter (markout_ticks is null)::bigint as n_missing,
       count(distinct session_id)::bigint as n_sessions, round(avg(markout_ticks), 9) as mean_markout_ticks, round(median(markout_ticks), 9) as median_markout_ticks from markouts group by 1, 2""",
 }

@@ -1,6 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.functions.metrics import tick_aligned
+from tapeloom.operators.tasks import valid_horizons
+from tapeloom.operators.worlds import guard_ns
+from tapeloom.sources.schemas import LATENCY
 from tapeloom.functions import metrics as M
 from tapeloom.operators import study as S
 from tapeloom.operators.asof import asof
@@ -92,3 +96,10 @@ def test_asof_keeps_null_states_and_ties(spark):
     valid = {(r.k, r["at"]): (r.v, r.sample_time) for r in asof(probes, samples, ["k"], "at", "t", "seq", ["v"], skip_null="v").collect()}
     assert [state["s", x] for x in (9, 10, 20, 29, 30, 99)] == [None, 5, 7, 7, None, None] and state["other", 99] is None
     assert valid["s", 99] == (7, 20) and valid["s", 9] == (None, None)
+
+
+def test_valid_horizons_and_tick_alignment(spark):
+    guard = guard_ns(*LATENCY["L6"][1:])
+    assert valid_horizons([0, 2 * guard, 2 * guard + 1, 10 * guard], ["L1", "L6"]) == [2 * guard + 1, 10 * guard]
+    rows = spark.createDataFrame([(0,), (250,), (-500,), (-1,), (251,), (None,)], "p long").select(tick_aligned(F.col("p"), 250)).collect()
+    assert [r[0] for r in rows] == [True, True, True, False, False, None]
