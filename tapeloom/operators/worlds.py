@@ -2,8 +2,8 @@
 
 An order of ours never moves the book, so its world is a chain of at most three commands, and each step
 is the first event after a known time. Policies are rows: B0 takes at arrival, B1 joins the best and
-holds, PROBE_SWITCH joins and switches at the checkpoint if it may. All tasks, policies and scenarios
-are one set of joins.
+holds, PROBE_SWITCH joins and switches at the checkpoint if it may, and a price rule does so where the
+signal that the client sees there is over its theta. All tasks, policies and scenarios are one set of joins.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.functions.metrics import price_rule_choice
 from tapeloom.operators.asof import asof
 from tapeloom.operators.book import BUCKET
 from tapeloom.operators.ranges import points_in_intervals
@@ -45,14 +46,19 @@ def _opposite(side: Column, bid: str, ask: str) -> Column:
     return F.when(side == "B", F.col(ask)).otherwise(F.col(bid))
 
 
-def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: DataFrame, fills: DataFrame, resets: DataFrame, scenarios=tuple(LATENCY), policies=POLICIES, keep=lambda df: df) -> DataFrame:
+def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: DataFrame, fills: DataFrame, resets: DataFrame, scenarios=tuple(LATENCY), policies=POLICIES, keep=lambda df: df, thetas: dict[str, float] | None = None, signals: DataFrame | None = None) -> DataFrame:
     """One row for each task (task_id, session_id, side B or A, arrival_ns, deadline_ns), policy and
     scenario: limit, checkpoint_eligible, switched, exec_ns, exec_price, mechanism, reset.
 
     ``market`` and ``client`` are quotes (session_id, t, seq, bid_price, ask_price; market also
     last_ordinal) by batch time and by delivery; ``resets`` are (session_id, t, ordinal). ``keep`` may
-    write what several steps read, such as a checkpoint.
+    write what several steps read, such as a checkpoint. ``thetas`` names price rules among the policies;
+    they read ``signals`` (session_id, t, seq, signal) by delivery, and switch without one.
     """
+    thetas = thetas or {}
+    unknown = set(policies) - set(POLICIES) - set(thetas)
+    if unknown or (thetas and signals is None):
+        raise ValueError(f"no rule for {sorted(unknown)}" if unknown else "price rules need signals")
     spec = [(s, LATENCY[s][0] * 1000, (LATENCY[s][1] + LATENCY[s][2]) * 1000, LATENCY[s][3] * 1000, guard_ns(*LATENCY[s][1:])) for s in scenarios]
     each = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(s).alias("s"), F.lit(d).cast("long").alias("d"), F.lit(ce).cast("long").alias("ce"), F.lit(r).cast("long").alias("r"), F.lit(g).cast("long").alias("g")) for s, d, ce, r, g in spec for p in policies)))
     w = tasks.withColumn("x", each).select(
@@ -67,7 +73,14 @@ def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: Da
     opposite = _opposite(F.col("side"), "bid_price", "ask_price")
     marketable = F.coalesce(F.col("limit").isNotNull() & F.when(F.col("side") == "B", F.col("limit") >= opposite).otherwise(F.col("limit") <= opposite), F.lit(False))
     w = w.withColumns({"marketable": marketable, "x0_price": opposite}).withColumn("working", F.col("limit").isNotNull() & ~F.col("marketable"))
-    w = keep(w)
+    switches = F.col("policy_id") == "PROBE_SWITCH"
+    if thetas:
+        decide = F.col("checkpoint_ns") - (F.col("arrival_ns") - F.col("seen_ns"))
+        w = asof(w.withColumn("decide_ns", decide), signals, ["session_id"], "decide_ns", "t", "seq", ["signal"]).drop("sample_time", "decide_ns")
+        theta = F.coalesce(*(F.when(F.col("policy_id") == p, F.lit(v)) for p, v in thetas.items()))
+        rule = price_rule_choice(F.when(F.col("side") == "B", 1).otherwise(-1), F.col("signal"), theta) == "SWITCH"
+        switches = switches | (F.col("policy_id").isin(*thetas) & rule)
+    w = keep(w.withColumn("switches", switches))
     # Orders ahead at our level when we arrive; the last of them leaves at clear_ordinal.
     ours = w.filter("working and last_ordinal is not null").select(*KEY, "session_id", F.col("side").alias("w_side"), "limit", "last_ordinal")
     ahead = points_in_intervals(ours, stints(intervals), ["session_id"], "last_ordinal", "ord_from", "ord_to", BUCKET).filter("side = w_side and price_fixed = limit")
@@ -94,7 +107,7 @@ def worlds(tasks: DataFrame, market: DataFrame, client: DataFrame, intervals: Da
     reset_known = lost & (F.col("reset.t") + F.col("r") <= F.col("checkpoint_ns"))
     eligible = F.col("working") & (known <= F.col("checkpoint_ns")) & ~fill_known & ~reset_known
     w = w.withColumn("checkpoint_eligible", F.coalesce(eligible, F.lit(False)))
-    start = F.when(F.col("checkpoint_eligible") & (F.col("policy_id") == "PROBE_SWITCH"), F.col("checkpoint_ns")).otherwise(F.col("cutoff_ns"))
+    start = F.when(F.col("checkpoint_eligible") & F.col("switches"), F.col("checkpoint_ns")).otherwise(F.col("cutoff_ns"))
     w = w.withColumn("cancel_ns", chain(start))
     filled = F.col("working") & F.coalesce((F.col("fill.t") <= F.col("cancel_ns")) & ~lost, F.lit(False))
     technical = F.col("working") & lost & F.coalesce(F.col("reset.t") <= F.col("cancel_ns"), F.lit(False))
@@ -126,7 +139,13 @@ def outcomes(found: DataFrame, reference: DataFrame, unevaluable: DataFrame, las
     )
 
 
-WORLDS_SQL = """
+def worlds_sql(policies=POLICIES, rule: str = "false", told: str = "") -> str:
+    """The oracle; ``rule`` says where a price rule switches, over what ``told`` joins to w6."""
+    rows = ", ".join(f"('{p}')" for p in policies)
+    return _WORLDS_SQL.replace("{policies}", rows).replace("{rule}", rule).replace("{told}", told)
+
+
+_WORLDS_SQL = """
 stints as (select session_id, order_id, side, price_fixed, priority, min(ord_from) as ord_from, max(ord_to) as ord_to from intervals group by 1, 2, 3, 4, 5),
 good as (select e.session_id, e.batch_id, b.proxy_time_ns as t from evidence e join batches b using (session_id, batch_id) where not e.invalid and b.quality_flags = '' and e.fills > 0),
 fills as (
@@ -139,7 +158,7 @@ spec(scenario_id, d, ce, r) as (values ('L1', 0, 300000, 250000), ('L6', 1000000
 w0 as (
   select g.session_id || ':' || g.k || ':' || s.side as task_id, g.session_id, s.side, g.arrival_ns, g.deadline_ns, p.policy_id, x.scenario_id, x.ce, x.r,
     g.arrival_ns + x.ce as x0, (g.arrival_ns + g.deadline_ns) // 2 as checkpoint_ns, g.deadline_ns - (3 * x.ce + 2 * x.r + 1) as cutoff_ns, g.arrival_ns - x.d as seen_ns
-  from grid g, (values ('B'), ('A')) s(side), (values ('B0'), ('B1'), ('PROBE_SWITCH')) p(policy_id), spec x),
+  from grid g, (values ('B'), ('A')) s(side), (values {policies}) p(policy_id), spec x),
 market as (select q.session_id, q.proxy_time_ns as t, q.batch_id as seq, q.bid_price, q.ask_price, b.last_ordinal from quotes q join batches b using (session_id, batch_id)),
 seen as (select q.session_id, b.capture_time_ns as t, q.batch_id as seq, q.bid_price, q.ask_price from quotes q join batches b using (session_id, batch_id)),
 w1 as (
@@ -157,7 +176,7 @@ w4 as (
     left join lateral (select * from resets z where w.working and z.session_id = w.session_id and z.t > w.x0 and z.t <= w.last_cancel order by ordinal limit 1) z on true),
 w5 as (select *, z_ordinal is not null and (f_ordinal is null or z_ordinal < f_ordinal) as lost from w4),
 w6 as (select *, coalesce(working and x0 + r <= checkpoint_ns and not (coalesce(f_t + r <= checkpoint_ns, false) and not lost) and not (lost and z_t + r <= checkpoint_ns), false) as checkpoint_eligible from w5),
-w7 as (select *, greatest(case when checkpoint_eligible and policy_id = 'PROBE_SWITCH' then checkpoint_ns else cutoff_ns end, x0 + r) + ce as cancel_ns from w6),
+w7 as (select w6.*, greatest(case when checkpoint_eligible and (policy_id = 'PROBE_SWITCH' or {rule}) then checkpoint_ns else cutoff_ns end, x0 + r) + ce as cancel_ns from w6 {told}),
 w8 as (select *, working and coalesce(f_t <= cancel_ns and not lost, false) as filled, working and lost and coalesce(z_t <= cancel_ns, false) as technical from w7),
 w9 as (select *, case when policy_id = 'B0' then x0 when lim is null then cutoff_ns + ce when working and not filled and not technical then cancel_ns + r + ce end as take_ns from w8),
 found as (
@@ -170,3 +189,5 @@ worlds as (
     case when marketable then 'AGGRESSIVE' when filled then case when f_price = lim then 'QUEUE_DEPLETION' else 'TRADE_THROUGH' end when take_ns is not null and take_price is not null then 'AGGRESSIVE' end as mechanism, technical as reset
   from found)
 """
+
+WORLDS_SQL = worlds_sql()

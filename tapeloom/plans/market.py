@@ -13,6 +13,7 @@ from tapeloom.operators import batches as B
 from tapeloom.operators import book, flow, quality
 from tapeloom.operators import tasks as T
 from tapeloom.operators import worlds as W
+from tapeloom.sources.schemas import THETAS
 from tapeloom.sources.tape import TAPE_SQL, load, tape
 
 #: The test tables' events lie minutes apart, so their windows are hours.
@@ -98,6 +99,12 @@ class Market:
     def grid(self) -> DataFrame:
         return self.grid_of(HOUR)
 
+    @property
+    def signals(self) -> DataFrame:
+        """What a price rule without a model goes by: the imbalance at the best prices, as delivered."""
+        times = self.batches.select("session_id", "batch_id", "capture_time_ns")
+        return self.quotes.join(times, ["session_id", "batch_id"]).select("session_id", F.col("capture_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("imbalance_1").alias("signal"))
+
     @property
     def live_quotes(self) -> DataFrame:
         times = self.batches.filter("kind = 'LIVE'").select("session_id", "batch_id", F.col("capture_time_ns").alias("obs_ns"))
@@ -179,7 +186,7 @@ def _sided(grid: DataFrame) -> DataFrame:
     return grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).withColumn("task_id", F.concat_ws(":", *names))
 
 
-def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), policies=W.POLICIES) -> DataFrame:
+def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), policies=W.POLICIES, thetas: dict | None = None) -> DataFrame:
     """Every arrival's two tasks under each policy, in the primary and the slowest scenario."""
     tasks = _sided(m.grid if grid is None else grid).select("task_id", "session_id", "side", "arrival_ns", "deadline_ns")
     times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
@@ -188,7 +195,7 @@ def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), po
     intervals = m.intervals
     resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
     fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
-    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios, policies, keep=m.keep)
+    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios, policies, m.keep, thetas, m.signals)
 
 
 def _outcomes(m: Market, grid: DataFrame | None = None, **of) -> DataFrame:
@@ -207,6 +214,17 @@ LADDER = (20_000_000, HOUR // 2, HOUR, 2 * HOUR)
 OTHERS = [h for h in T.valid_horizons(LADDER, ("L1", "L6")) if h != HOUR]
 
 
+RULES = {f"B2:{theta}": theta for theta in THETAS}
+
+
+def _trials(m: Market) -> DataFrame:
+    """Each session's evaluable tasks under each price rule, in the primary scenario."""
+    found = _outcomes(m, scenarios=("L1",), policies=tuple(RULES), thetas=RULES).filter("status <> 'TECHNICALLY_UNEVALUABLE'")
+    return found.groupBy(F.substring_index("task_id", ":", 1).alias("session_id"), "policy_id").agg(
+        F.count("*").alias("n_evaluable"), F.count_if(F.col("status") == "DEADLINE_MISS").alias("n_missed"), F.count_if("checkpoint_eligible").alias("n_choices"),
+        F.round(F.avg("deadline_cost_ticks"), 9).alias("mean_cost_ticks"))
+
+
 def _sensitivity(m: Market) -> DataFrame:
     """Every task's outcome at the other valid horizons, policies without models, primary scenario."""
     grids = [m.grid_of(h).withColumn("horizon_ns", F.lit(h).cast("long")) for h in OTHERS]
@@ -256,6 +274,7 @@ QUERIES = {
     "markouts": lambda s, d: _markouts(Market(s, d)),
     "batch_status": lambda s, d: T.status_at(Market(s, d, settle=False).batches.select("session_id", "batch_id", "proxy_time_ns"), "proxy_time_ns", _statuses(s, d), "event_time_ns"),
     "client_status": _client_status,
+    "validation_trials": lambda s, d: _trials(Market(s, d)),
     "horizon_sensitivity": lambda s, d: _sensitivity(Market(s, d)),
     "worlds": lambda s, d: _worlds(Market(s, d)),
     "world_outcomes": lambda s, d: _outcomes(Market(s, d)),
@@ -274,8 +293,8 @@ _FLOW = """flows as (
 _LIVE = "live as (select q.*, b.capture_time_ns as obs_ns from quotes q join batches b using (session_id, batch_id) where b.kind = 'LIVE')"
 _FRAME = "range between {} preceding and current row"
 
-def _outcomes_sql(grid: str) -> str:
-    return f"""{grid}, {B.EVIDENCE_SQL}, {quality.QUALITY_SQL}, {W.WORLDS_SQL},
+def _outcomes_sql(grid: str, worlds: str = W.WORLDS_SQL) -> str:
+    return f"""{grid}, {B.EVIDENCE_SQL}, {quality.QUALITY_SQL}, {worlds},
       priced as (
         select w.*, case when side = 'B' then 1 else -1 end as s, coalesce(exec_ns <= deadline_ns, false) as done, a.mid2 as m0, z.mid2 as mt, {UNEVALUABLE.format(w='w', lo='w.arrival_ns', hi='w.deadline_ns')} as bad_reason
         from worlds w left join lateral (select mid2 from mids m where m.session_id = w.session_id and m.t <= w.arrival_ns and m.mid2 is not null order by t desc, seq desc limit 1) a on true
@@ -287,6 +306,10 @@ def _outcomes_sql(grid: str) -> str:
         coalesce(bad_reason, case when reset then 'OVERLAY_TECHNICAL_RESET' end) as reason from judged2"""
 
 
+_RULED = W.worlds_sql(
+    tuple(RULES), "coalesce(case when side = 'B' then 1 else -1 end * sg.signal > cast(substr(policy_id, 4) as double), true)",
+    """left join lateral (select q.imbalance_1 as signal from quotes q join batches b using (session_id, batch_id)
+      where q.session_id = w6.session_id and b.capture_time_ns <= w6.checkpoint_ns - (w6.arrival_ns - w6.seen_ns) order by b.capture_time_ns desc, q.batch_id desc limit 1) sg on true""")
 _STATUS = """statuses as (select cast(ts::date as varchar) as session_id, event_id as seq, case when event_type = 'error' then 'HALTED' else 'TRADING' end as status,
     epoch_us(ts) * 1000 as event_time_ns, epoch_us(ts) * 1000 + 2000000 as capture_time_ns from events where event_id % 5 = 0 and event_type in ('error', 'signup'))"""
 
@@ -338,6 +361,9 @@ ORACLE_SQL = {
     "markouts": f"{MARKOUT_SQL} select * from markouts",
     "worlds": f"{GRID}, {B.EVIDENCE_SQL}, {W.WORLDS_SQL} select * from worlds",
     "world_outcomes": _outcomes_sql(GRID),
+    "validation_trials": f"""select split_part(task_id, ':', 1) as session_id, policy_id, count(*)::bigint as n_evaluable, count(*) filter (status = 'DEADLINE_MISS')::bigint as n_missed,
+      count(*) filter (checkpoint_eligible)::bigint as n_choices, round(avg(deadline_cost_ticks), 9) as mean_cost_ticks
+      from ({_outcomes_sql(GRID, _RULED)}) where scenario_id = 'L1' and status <> 'TECHNICALLY_UNEVALUABLE' group by 1, 2""",
     "horizon_sensitivity": " union all ".join(f"""select {h}::bigint as horizon_ns, task_id, policy_id, status, is_ticks, deadline_cost_ticks
       from ({_outcomes_sql(_grid_sql(h))}) where policy_id in ('B0', 'B1') and scenario_id = 'L1'""" for h in OTHERS),
     "batch_status": f"{SQL}, {_STATUS}, probes as (select session_id, batch_id, proxy_time_ns from batches) {_status_sql('probes', 'proxy_time_ns', 'event_time_ns')}",

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.metrics import tick_aligned
 from tapeloom.operators.tasks import valid_horizons
-from tapeloom.operators.worlds import guard_ns
+from tapeloom.operators.worlds import guard_ns, worlds
 from tapeloom.sources.schemas import LATENCY
 from tapeloom.functions import metrics as M
 from tapeloom.operators import study as S
@@ -103,3 +103,11 @@ def test_valid_horizons_and_tick_alignment(spark):
     assert valid_horizons([0, 2 * guard, 2 * guard + 1, 10 * guard], ["L1", "L6"]) == [2 * guard + 1, 10 * guard]
     rows = spark.createDataFrame([(0,), (250,), (-500,), (-1,), (251,), (None,)], "p long").select(tick_aligned(F.col("p"), 250)).collect()
     assert [r[0] for r in rows] == [True, True, True, False, False, None]
+
+
+def test_worlds_know_their_policies():
+    """A policy without a rule is refused, and so is a price rule without signals."""
+    with pytest.raises(ValueError, match="no rule"):
+        worlds(None, None, None, None, None, None, policies=("B0", "B9"))
+    with pytest.raises(ValueError, match="signals"):
+        worlds(None, None, None, None, None, None, policies=("B0", "B2:0.1"), thetas={"B2:0.1": 0.1})
