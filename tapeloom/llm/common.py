@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{path.rstrip('/')}/tables-{app}"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in ``shared_dir`` that nothing else has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark reaches."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that ``cut`` has written for this application. Results that read them, which
     are lazy, have to be written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_dir(spark))
 
 
 #: Lets Spark delete a query's shuffle files when the query ends.
@@ -40,7 +50,7 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost
     executor costs nothing that was already written. What it shuffled is deleted at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
