@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import chat, decontaminate, exact_dedup, host_rules, packing, quality, repeats, secret_scan, simhash, toxicity, url_rules
+from tapeloom.llm import alignment, chat, decontaminate, exact_dedup, host_rules, packing, quality, repeats, secret_scan, simhash, toxicity, url_rules, whitening
 from tapeloom.llm.common import held_out, load
 
 
@@ -199,6 +199,14 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from failed join drawn on failed.source is not distinct from drawn.source
 """
 
+def op11_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -210,5 +218,5 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-QUERIES = {f.__name__: f for f in (op1_positional_index, op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op8_prefix_free_repeats, op9_chat_formatting, op10_host_quality_rules, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_positional_index, op2_toxicity_mil, op3_bm25_packing, op4_secret_scan, op5_url_rules, op6_quality_fm, op7_simhash_near_dedup, op8_prefix_free_repeats, op9_chat_formatting, op10_host_quality_rules, op11_token_spans, op12_spectrum_whitening, op13_exact_dedup)}
 ORACLE_SQL: dict[str, str] = {"op1_positional_index": OP1_SQL, "op5_url_rules": OP5_SQL, "op9_chat_formatting": OP9_SQL, "op10_host_quality_rules": OP10_SQL, "op13_exact_dedup": OP13_SQL}
