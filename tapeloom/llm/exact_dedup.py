@@ -80,7 +80,8 @@ def refuted(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The digests in ``hits`` (digest, keeper) that rows of other bytes than the keeper's have. ``rows`` are
     ``located`` ones, ``hits`` is written."""
     contents = cut(rows.join(small_side(hits), "digest").filter(_at_keeper()).select("digest", F.col("text").alias("kept_text")), "contents")
-    return rows.join(small_side(contents, "kept_text"), "digest").filter("text <> kept_text").select("digest").distinct()
+    claims = rows.join(small_side(hits.select("digest")), "digest", "left_semi")  # so that no other text is moved
+    return claims.join(small_side(contents, "kept_text"), "digest").filter("text <> kept_text").select("digest").distinct()
 
 
 def exact_duplicates(docs: DataFrame, digest=sha256, batch_bytes: int = BATCH_BYTES) -> DataFrame:
