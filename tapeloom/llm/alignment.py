@@ -6,9 +6,10 @@ wide as its token's bytes, in a character of several bytes, at bytes of a fallba
 space, the decoded bytes cut on from the last coarse cut.
 
 No token of either crosses from a printed character to a space after it, so texts are cut there into
-chunks, each distinct chunk is aligned once and remembered, and a text is the sequence of its chunks. Pairs are counted
-by task and summed; the table of pairs is no longer than both vocabularies allow. A second pass looks links
-up in it: from memory where it is counted to be small, else by a join.
+chunks, each distinct chunk is aligned once and remembered, and a text is the sequence of its chunks. Texts are
+aligned in one pass, whose links are written. Pairs are counted from these by task and summed; the table of
+pairs is no longer than both vocabularies allow. Last, links are looked up in it: from memory where it is
+counted to be small, else by a join.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,11 @@ _CHUNK = re.compile("(?<=[^\\s\\x00-\\x20\\x7f-\\xa0\\u180e\\u200b\\u2060\\ufeff
 Chunk = tuple[int, int, int, int, str, bytes]
 
 
+def pair_shift(a_size: int, b_size: int) -> int:
+    """Bits of B's id in a pair's number."""
+    return 16 if max(a_size, b_size) <= 1 << 16 else 32
+
+
 def byte_ends(spans: list[tuple[int, int]], tokens: list[bytes]) -> list[int]:
     """Where tokens end, in bytes: at the end of a span (begin, end) that goes on from the cut before and is as
     wide as its token's bytes, else where the decoded bytes end."""
@@ -75,6 +83,9 @@ class Aligner:
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        #: A pair as one number: A's id above B's.
+        self.shift = pair_shift(len(self.a_bytes), len(pieces))
+        self.key = np.dtype("<u4" if self.shift == 16 else "<u8")
         #: Whether chunks are encoded alike alone and in a text.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.young: dict[str, Chunk | None] = {}
@@ -112,14 +123,14 @@ class Aligner:
             return None
         spans = a.offsets
         if len(text) > len(chunk) + 1:  # offsets are of characters
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in " " + chunk])]).tolist()
+            at = [0, *accumulate([len(c.encode()) for c in " " + chunk])]
             spans = [(at[x], at[y]) for x, y in spans]
         # B's spans are of the chunk's bytes, its first piece also has the space before.
         b_spans = [(x + 1 if k else 0, y + 1) for k, (_, x, y) in enumerate(pieces)]
         cuts, links = groups_and_links(byte_ends(spans, a_tokens), byte_ends(b_spans, b_tokens))
         a_text, b_text = [str(i) for i in a_ids], [str(i) for i, _, _ in pieces]
         groups = ";".join([f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}" for (i, j), (x, y) in zip([(0, 0), *cuts], cuts)])
-        keys = np.array([a_ids[i] << 32 | pieces[j][0] for i, j in links], np.int64)
+        keys = array("I" if self.shift == 16 else "Q", [a_ids[i] << self.shift | pieces[j][0] for i, j in links])
         return len(a_ids), len(pieces), len(cuts), len(links), groups, keys.tobytes()
 
 
@@ -128,47 +139,38 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
     return kept(f"aligner:{a_path}:{b_path}", lambda: Aligner(a_path, b_path))
 
 
-class _Batch:
-    """The aligned chunks of a batch of texts: each distinct chunk once, and for each text that has tokens the
-    places of its chunks."""
-
-    def __init__(self, aligner: Aligner, texts: list[str | None]):
-        parts = [aligner.chunks(t) if t else [] for t in texts]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        coded = pa.array([c for p in parts for c in p], pa.large_string()).dictionary_encode()
-        self.found = aligner.align(coded.dictionary.to_pylist())
-        self.codes = coded.indices.to_numpy()
-        self.ends = np.concatenate([[0], np.cumsum(sizes)])
-        broken = np.array([x is None for x in self.found], bool)
-        bad = np.concatenate([[0], np.cumsum(broken[self.codes])])[self.ends]
-        self.sound = (sizes > 0) & (bad[1:] == bad[:-1])
-        self.found = [(0, 0, 0, 0, "", b"") if x is None else x for x in self.found]
-        self.links = np.array([x[3] for x in self.found], np.int64)
-
-    def keys(self) -> np.ndarray:
-        """The links of all distinct chunks, one after another."""
-        return np.frombuffer(b"".join([x[5] for x in self.found]), np.int64)
-
-    def occurrences(self) -> np.ndarray:
-        """How often each distinct chunk stands in texts that have tokens."""
-        used = np.repeat(self.sound, np.diff(self.ends))
-        return np.bincount(self.codes[used], minlength=len(self.found))
-
-    def of_texts(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each text's chunks of what each distinct chunk has; 0 without tokens."""
-        total = np.concatenate([[0], np.cumsum(values[self.codes])])[self.ends]
-        return np.where(self.sound, total[1:] - total[:-1], 0)
-
-    def of_chunks(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each distinct chunk's links of what ``keys`` have."""
-        total = np.concatenate([[0], np.cumsum(values)])
-        ends = np.cumsum(self.links)
-        return total[ends] - total[ends - self.links]
-
-    def groups(self) -> list[str]:
-        text = [x[4] for x in self.found]
-        codes, ends = self.codes.tolist(), self.ends.tolist()
-        return [";".join([text[c] for c in codes[i:j]]) if ok else "" for ok, i, j in zip(self.sound.tolist(), ends, ends[1:])]
+def _aligned(rows: DataFrame, a_path: str, b_path: str, with_groups: bool) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, groups_sha256, groups, links): links are the linked pairs as numbers, one
+    after another, in bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(a_path, b_path)
+        for b in batches:
+            if b.num_rows:
+                yield _batch(aligner, b.column(0), b.column(1).to_pylist(), with_groups)
+
+    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, links binary")
+
+
+def _batch(aligner: Aligner, ids: pa.Array, texts: list[str | None], with_groups: bool) -> pa.RecordBatch:
+    """Each distinct chunk is looked up once; a text with a chunk that has no tokens has none."""
+    parts = [aligner.chunks(t) if t else [] for t in texts]
+    coded = pa.array([c for p in parts for c in p], pa.large_string()).dictionary_encode()
+    found = aligner.align(coded.dictionary.to_pylist())
+    codes = coded.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    bad = np.concatenate([[0], np.cumsum(np.array([x is None for x in found], bool)[codes])])[ends]
+    sound = (np.diff(ends) > 0) & (bad[1:] == bad[:-1])
+    found = [(0, 0, 0, 0, "", b"") if x is None else x for x in found]
+    columns = [ids]
+    for k in range(4):
+        total = np.concatenate([[0], np.cumsum(np.array([x[k] for x in found], np.int64)[codes])])[ends]
+        columns.append(pa.array(np.where(sound, np.diff(total), 0)))
+    text, keys, at, lo = [x[4] for x in found], [x[5] for x in found], codes.tolist(), ends.tolist()
+    groups = [";".join([text[c] for c in at[i:j]]) if ok else "" for ok, i, j in zip(sound.tolist(), lo, lo[1:])]
+    links = [b"".join([keys[c] for c in at[i:j]]) if ok else b"" for ok, i, j in zip(sound.tolist(), lo, lo[1:])]
+    columns += [pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string()), pa.array(groups if with_groups else [None] * len(groups), pa.string()), pa.array(links, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links"])
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,87 +180,87 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(a, b, n, best): how many links of all ``docs`` (text) hold the ids linked, and whether no other pair of b
+def _numbers(column: pa.Array, key: str) -> np.ndarray:
+    """All links of a batch."""
+    return np.frombuffer(b"".join(column.to_pylist()), key)
+
+
+def pair_counts(aligned: DataFrame, shift: int) -> DataFrame:
+    """(a, b, n, best): how many links of ``aligned`` (links) hold the ids linked, and whether no other pair of b
     has more. A task sends each pair that it has once, or once for PAIRS_HELD pairs."""
+    key = "<u4" if shift == 16 else "<u8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, keys, counts = _aligner(a_path, b_path), np.empty(0, np.int64), np.empty(0, np.int64)
+        keys, counts = np.empty(0, key), np.empty(0, np.int64)
         for b in batches:
-            if b.num_rows:
-                found = _Batch(aligner, b.column(0).to_pylist())
-                new = _summed(found.keys(), np.repeat(found.occurrences(), found.links))
-                keys, counts = _summed(np.concatenate([keys, new[0]]), np.concatenate([counts, new[1]]))
-                if len(keys) >= PAIRS_HELD:
-                    yield out(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
+            own, n = np.unique(_numbers(b.column(0), key), return_counts=True)
+            keys, counts = _summed(np.concatenate([keys, own]), np.concatenate([counts, n]))
+            if len(keys) >= PAIRS_HELD:
+                yield out(keys, counts)
+                keys, counts = keys[:0], counts[:0]
         if len(keys):
             yield out(keys, counts)
 
     def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        some = counts > 0  # a chunk may stand in texts without tokens alone
-        keys, counts = keys[some], counts[some]
-        return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
+        a, b = keys >> shift, keys & ((1 << shift) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
 
-    parts = text_batches(docs.select("text")).mapInArrow(run, "a int, b int, n long")
+    parts = aligned.select("links").mapInArrow(run, "a int, b int, n long")
     counts = cut(parts.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     return cut(counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "pair-counts")
 
 
-COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string"
 
 
-def _columns(batch: pa.RecordBatch, found: _Batch, with_groups: bool) -> list[pa.Array]:
-    groups = found.groups()
-    digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
-    sums = [pa.array(found.of_texts(np.array([x[k] for x in found.found], np.int64))) for k in range(4)]
-    return [batch.column(0), *sums, pa.array(digests, pa.string()), pa.array(groups if with_groups else [None] * len(groups), pa.string())]
-
-
-def _looked_up(rows: DataFrame, pairs: DataFrame, a_path: str, b_path: str, with_groups: bool) -> DataFrame:
+def _looked_up(aligned: DataFrame, pairs: DataFrame, shift: int) -> DataFrame:
     """With the table of ``pairs``, of checked size, in every worker's memory."""
-    table = pairs.select(F.col("a").cast("long") * (1 << 32) + F.col("b"), "n", "best").toArrow()
+    key = "<u4" if shift == 16 else "<u8"
+    table = pairs.select(F.col("a").cast("long") * (1 << shift) + F.col("b"), "n", "best").toArrow()
     keys, counts, best = (c.to_numpy() for c in table.columns)
     order = np.argsort(keys)
-    shared = rows.sparkSession.sparkContext.broadcast((keys[order], counts[order], best[order].astype(np.int64)))
+    shared = aligned.sparkSession.sparkContext.broadcast((keys[order].astype(key), counts[order].astype(np.int64), best[order].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (keys, counts, best) = _aligner(a_path, b_path), shared.value
+        keys, counts, best = shared.value
         for b in batches:
-            if b.num_rows:
-                found = _Batch(aligner, b.column(1).to_pylist())
-                at = np.searchsorted(keys, found.keys()).clip(max=max(len(keys) - 1, 0))
-                sums = [found.of_texts(found.of_chunks(v[at] if len(v) else np.zeros(len(at), np.int64))) for v in (best, counts)]
-                yield pa.RecordBatch.from_arrays([*_columns(b, found, with_groups), *map(pa.array, sums)], ["doc_id", *COLUMNS, "n_best", "count_sum"])
+            if not b.num_rows:
+                continue
+            sums = [np.zeros(b.num_rows, np.int64)] * 2
+            if len(keys):
+                at = np.searchsorted(keys, _numbers(b.column(len(COLUMNS)), key))
+                ends = np.cumsum(b.column(4).to_numpy())
+                totals = [np.concatenate([[0], np.cumsum(v[at])]) for v in (best, counts)]
+                sums = [t[ends] - t[np.concatenate([[0], ends[:-1]])] for t in totals]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(COLUMNS)], *map(pa.array, sums)], [*COLUMNS, "n_best", "count_sum"])
 
-    return rows.mapInArrow(run, f"{_ROWS}, n_best long, count_sum long")
+    return aligned.select(*COLUMNS, "links").mapInArrow(run, f"{_ROWS}, n_best long, count_sum long")
 
 
-def _joined(rows: DataFrame, pairs: DataFrame, a_path: str, b_path: str, with_groups: bool) -> DataFrame:
+def _joined(aligned: DataFrame, pairs: DataFrame, shift: int) -> DataFrame:
     """With a join of each document's distinct pairs and the table of ``pairs``."""
+    key = "<u4" if shift == 16 else "<u8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, k = _aligner(a_path, b_path), TaskContext.get().partitionId() << 40
+        k = TaskContext.get().partitionId() << 40
         for b in batches:
             if not b.num_rows:
                 continue
-            found = _Batch(aligner, b.column(1).to_pylist())
-            links = [np.frombuffer(x[5], np.int64) for x in found.found]
             own = []
-            for ok, i, j in zip(found.sound.tolist(), found.ends, found.ends[1:]):
-                keys, n = np.unique(np.concatenate([links[c] for c in found.codes[i:j]]), return_counts=True) if ok else ([], [])
-                own.append([{"a": int(x) >> 32, "b": int(x) & 0xFFFFFFFF, "m": int(m)} for x, m in zip(keys, n)])
+            for x in b.column(len(COLUMNS)).to_pylist():
+                keys, n = np.unique(np.frombuffer(x, key), return_counts=True)
+                own.append([{"a": int(i) >> shift, "b": int(i) & ((1 << shift) - 1), "m": int(m)} for i, m in zip(keys, n)])
             ids, k = pa.array(range(k, k + b.num_rows), pa.int64()), k + b.num_rows
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*_columns(b, found, with_groups), ids, pa.array(own, kind)], ["doc_id", *COLUMNS, "k", "own"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(COLUMNS)], ids, pa.array(own, kind)], [*COLUMNS, "k", "own"])
 
-    found = cut(rows.mapInArrow(run, f"{_ROWS}, k long, own array<struct<a: int, b: int, m: long>>"), "aligned")
+    found = cut(aligned.select(*COLUMNS, "links").mapInArrow(run, f"{_ROWS}, k long, own array<struct<a: int, b: int, m: long>>"), "own-pairs")
     links = found.select("k", F.explode("own").alias("o")).select("k", "o.a", "o.b", "o.m").join(pairs, ["a", "b"])
     sums = links.groupBy("k").agg(F.sum(F.when(F.col("best"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("n")).alias("count_sum"))
     joined = found.drop("own").join(sums, "k", "left")
-    return joined.select("doc_id", *COLUMNS, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")))
+    return joined.select(*COLUMNS, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False, most_pairs: int = BROADCAST_ROWS) -> DataFrame:
@@ -271,7 +273,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, with_groups: bool = False,
     columns are ignored. A table of more than ``most_pairs`` id pairs is joined, not broadcast.
     """
     rows = text_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    pairs = pair_counts(rows, a_path, b_path)
-    by = _looked_up if pairs.count() <= most_pairs else _joined
-    found = by(rows, pairs, a_path, b_path, with_groups)
+    aligned, shift = cut(_aligned(rows, a_path, b_path, with_groups), "aligned", compression="zstd"), Aligner(a_path, b_path).shift
+    pairs = pair_counts(aligned, shift)
+    found = (_looked_up if pairs.count() <= most_pairs else _joined)(aligned, pairs, shift)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else []))
