@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import cut, delete, shared_path, small_side
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+#: State on disk; a batch uploads what it changed, and small stores don't reserve disk ahead.
+STATE_CONF = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE}.rocksdb.allowFAllocate": "false",
+}
 #: Bytes of the catalogue that a micro-batch takes; a row has some 60.
 BATCH_BYTES = 1 << 30
 
@@ -57,7 +63,8 @@ def absorb(spark: SparkSession, catalogue: str, state: str, batch_bytes: int = B
     """
     schema = "digest binary, doc_id long, file string, row long"
     own = spark.newSession()  # so that the user's session keeps its settings
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    for name, value in STATE_CONF.items():
+        own.conf.set(name, value)
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     rows = own.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(catalogue)
     updates = f"{state}/updates"
