@@ -5,11 +5,11 @@ the text. Their offsets, of characters and of spans of the proto, are the coarse
 wide as its token's bytes, in a character of several bytes, at bytes of a fallback or at trimmed or added
 space, the decoded bytes cut on from the last coarse cut.
 
-No token of either crosses from a printed character to a space after it, so texts are cut there into
-chunks, each distinct chunk is aligned once and remembered, and a text is the sequence of its chunks. Texts are
-aligned in one pass, whose links are written. Pairs are counted from these by task and summed; the table of
-pairs is no longer than both vocabularies allow. Last, links are looked up in it: from memory where it is
-counted to be small, else by a join.
+Texts are cut into chunks where no token of either may cross: before a space, and between plain letters and
+other plain characters. Each distinct chunk is aligned once and remembered, and a text is the sequence of its
+chunks. Texts are aligned in one pass, whose links are written. Pairs are counted from these by task and summed;
+the table of pairs is no longer than both vocabularies allow. Last, links are looked up in it: from memory where
+it is counted to be small, else by a join.
 """
 
 from __future__ import annotations
@@ -30,9 +30,15 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import BROADCAST_ROWS, cut, kept, text_batches
 
 #: Chunks that a Python worker remembers, in each of two generations; pairs that a task holds before it sends them.
-CACHE_CHUNKS, PAIRS_HELD = 100_000, 1_000_000
-#: A space after what is no white space by any table, but for a text's last character.
-_CHUNK = re.compile("(?<=[^\\s\\x00-\\x20\\x7f-\\xa0\\u180e\\u200b\\u2060\\ufeff]) (?!\\Z)")
+CACHE_CHUNKS, PAIRS_HELD = 250_000, 1_000_000
+#: Letters, other printed characters, and those but for the apostrophe, which starts a token with letters.
+_L, _N, _P = "A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u024f", "!-@\\[-`{-~", "!-&(-@\\[-`{-~"
+#: Before a space after what is no white space by any table, but for a text's last character; between letters and others.
+_CUT = f"(?<=[^\\s\\x00-\\x20\\x7f-\\xa0\\u180e\\u200b\\u2060\\ufeff])(?= (?!\\Z))|(?<=[{_L}])(?=[\\n{_N}])|(?<=[{_P}])(?=[{_L}])|(?<=[{_N}]\\n)(?=[{_L}])"
+#: Chunks of the usual kinds first, then whatever stands before the next cut.
+_CHUNKS = re.compile(f"(?s) ?[{_L}]+(?=[\\n{_N}]| (?!\\Z)|\\Z)| ?[{_P}]+(?=[{_L}]| (?!\\Z)|\\Z)|[{_P}]+\\n(?=[{_L}])|.+?(?:{_CUT}|\\Z)").findall
+#: Pieces that would cross a cut.
+_CROSSES = re.compile(f"[^▁]▁|[{_L}][\\n{_N}]|[\\n{_N}][{_L}]")
 #: Chunks of a text: tokens of A and B, groups, links, the groups as text, the linked ids as keys.
 Chunk = tuple[int, int, int, int, str, bytes]
 
@@ -87,13 +93,16 @@ class Aligner:
         self.shift = pair_shift(len(self.a_bytes), len(pieces))
         self.key = np.dtype("<u4" if self.shift == 16 else "<u8")
         #: Whether chunks are encoded alike alone and in a text.
-        self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.cuts = not any(_CROSSES.search(p) for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+        #: What stands before a chunk that has no space of its own, so that B puts none into it, and its pieces.
+        self.before = {x: len(self.b.encode(x)) for x in ("", "a", ".")}
+        self.a_text, self.b_text = {i: str(i) for i in self.a_bytes}, [str(i) for i in range(len(pieces))]
         self.young: dict[str, Chunk | None] = {}
         self.old: dict[str, Chunk | None] = {}
 
     def chunks(self, text: str) -> list[str]:
-        """Of a space and ``text``, each without its first space."""
-        return _CHUNK.split(text) if self.cuts else [text]
+        """Of a space and ``text``."""
+        return _CHUNKS(" " + text) if self.cuts else [" " + text]
 
     def align(self, chunks: list[str]) -> list[Chunk | None]:
         """None for a chunk whose tokens' bytes are others than its own."""
@@ -105,33 +114,38 @@ class Aligner:
                 else:
                     new.append(c)
         if new:
-            a = self.a.encode_batch([" " + c for c in new], add_special_tokens=False)
-            b = self.b.encode(new, return_type="proto", num_threads=1)
-            self.young.update((c, self._one(c, x, y)) for c, x, y in zip(new, a, b))
+            a = self.a.encode_batch(new, add_special_tokens=False)
+            before = ["" if c[0] == " " else "." if c[0].isalpha() else "a" for c in new]
+            b = self.b.encode([c[1:] if not x else x + c for c, x in zip(new, before)], return_type="proto", num_threads=1)
+            self.young.update((c, self._one(c, x, y, z)) for c, x, y, z in zip(new, a, b, before))
         out = [self.young[c] for c in chunks]
         if len(self.young) >= CACHE_CHUNKS:  # what comes often stays
             self.young, self.old = {}, self.young
         return out
 
-    def _one(self, chunk: str, a, b) -> Chunk | None:
-        text = (" " + chunk).encode()
-        a_ids = a.ids
-        a_tokens = [self.a_bytes[i] for i in a_ids]
-        pieces = [(p.id, p.begin, p.end) for p in b.pieces]
-        b_tokens = [self.b_bytes[i] for i, _, _ in pieces]
+    def _one(self, chunk: str, a, b, before: str) -> Chunk | None:
+        text, a_ids, spans = chunk.encode(), a.ids, a.offsets
+        pieces = [(p.id, p.begin, p.end) for p in b.pieces][self.before[before] :]
+        b_ids = [i for i, _, _ in pieces]
+        a_tokens, b_tokens = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
         if b"".join(a_tokens) != text or b"".join(b_tokens) != text:
             return None
-        spans = a.offsets
-        if len(text) > len(chunk) + 1:  # offsets are of characters
-            at = [0, *accumulate([len(c.encode()) for c in " " + chunk])]
+        if len(text) > len(chunk):  # offsets are of characters
+            at = [0, *accumulate([len(c.encode()) for c in chunk])]
             spans = [(at[x], at[y]) for x, y in spans]
-        # B's spans are of the chunk's bytes, its first piece also has the space before.
-        b_spans = [(x + 1 if k else 0, y + 1) for k, (_, x, y) in enumerate(pieces)]
+        # B's spans are of what it was given: without the chunk's space, or with what was put before it.
+        off = 1 if not before else -len(before)
+        b_spans = [(x + off, y + off) for _, x, y in pieces]
+        if not before and b_spans:
+            b_spans[0] = (0, b_spans[0][1])
         cuts, links = groups_and_links(byte_ends(spans, a_tokens), byte_ends(b_spans, b_tokens))
-        a_text, b_text = [str(i) for i in a_ids], [str(i) for i, _, _ in pieces]
-        groups = ";".join([f"{','.join(a_text[i:x])}|{','.join(b_text[j:y])}" for (i, j), (x, y) in zip([(0, 0), *cuts], cuts)])
-        keys = array("I" if self.shift == 16 else "Q", [a_ids[i] << self.shift | pieces[j][0] for i, j in links])
-        return len(a_ids), len(pieces), len(cuts), len(links), groups, keys.tobytes()
+        a_text, b_text, parts, i, j = self.a_text, self.b_text, [], 0, 0
+        for x, y in cuts:
+            parts.append(",".join([a_text[k] for k in a_ids[i:x]]) + "|" + ",".join([b_text[k] for k in b_ids[j:y]]))
+            i, j = x, y
+        shift = self.shift
+        keys = array("I" if shift == 16 else "Q", [a_ids[i] << shift | b_ids[j] for i, j in links])
+        return len(a_ids), len(b_ids), len(cuts), len(links), ";".join(parts), keys.tobytes()
 
 
 def _aligner(a_path: str, b_path: str) -> Aligner:

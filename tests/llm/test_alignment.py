@@ -51,6 +51,7 @@ def _texts():
     rng = random.Random(5)
     bits = ["the", "Quick", "naïve", "éè", "\U0001f600\U0001f601", "你好龘", "क्ष", "it's", "1234", "  ", "\n", "\n\n", "\t", " ", "　", "...", "<s>", "</s>", "<|endoftext|>", "<0x41>", "\x00", "é", "ﬁ", "\r\n", "zxqj", "​", "᠎"]
     made = [rng.choice(["", " "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(250)]
+    made += ["".join(rng.choice(["ab", "É", "x", "'", "s", "ll", ".", "\n", " ", "  ", "#", "7", "²", "ß", "'s", "\t", "-", "_", "K", "ñ", "“"]) for _ in range(rng.randrange(1, 30))) for _ in range(400)]
     made += [" ".join(rng.choice(bits) for _ in range(20)) for _ in range(60)]
     return [None, "", " ", "  ", "a", " a", "a ", "x▁y", "▁", "plain words, plain words.", "plain words, plain words.", *made]
 
@@ -70,7 +71,8 @@ def test_chunks_are_encoded_as_in_their_text():
     aligner = alignment.Aligner(A, B)
     assert aligner.cuts
     for t in filter(None, _texts()):
-        whole, parts = aligner.align([t])[0], aligner.align(aligner.chunks(t))
+        assert "".join(aligner.chunks(t)) == " " + t
+        whole, parts = aligner.align([" " + t])[0], aligner.align(aligner.chunks(t))
         assert (whole is None) == (None in parts)
         if whole:
             assert whole[4] == ";".join(p[4] for p in parts)
