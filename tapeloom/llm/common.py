@@ -78,6 +78,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list:
+    """Its columns, dots in their names and all."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def kept(name: str, make):
     """What this Python process makes once and keeps for its later tasks. Functions come to workers by
     value, with fresh globals, so it is kept in a module of its own."""

@@ -28,8 +28,8 @@ SHINGLE, ROWS, BANDS = 5, 6, 24
 NEAR, OF = 4, 5
 #: The pigeonring's bound and segments.
 MAX_BITS, SEGMENTS = 20, 8
-#: Buckets of up to so many texts compare all that are not connected yet; larger ones compare all with
-#: the most central texts of so many slots of components.
+#: Buckets of up to so many texts compare all that are not connected yet at once; larger ones first compare all
+#: with the most central texts of so many slots of components, and then what that has not connected.
 SMALL_BUCKET, SLOTS = 64, 4
 # Each product has two values of 32 bits.
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,6 +109,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
     return both.filter(OF * shared >= NEAR * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _left_over(many: DataFrame, at: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that may be near, share one of the large buckets ``many`` (band, key, t) and are not
+    connected ``at`` (node, component); each pair in the first band that both share."""
+    placed = many.select("band", "key", "t", F.col("t.node").alias("node")).join(at, "node", "left").select("band", "key", "t", "node", F.coalesce("component", "node").alias("c"))
+    sizes = cut(placed.groupBy("band", "key", "c").agg(F.count("*").alias("m")), "component-sizes")
+    largest = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    open_ = placed.join(largest, ["band", "key"]).join(first.select("node", "bands"), "node")
+    open_ = cut(open_.select("band", "key", F.struct("t.*", "bands").alias("t"), "c", (F.col("c") != F.col("main")).alias("outside")), "still-open")
+    x = open_.filter("outside").select("band", "key", F.col("t").alias("x"), F.col("c").alias("cx"))
+    y = open_.select("band", "key", F.col("t").alias("y"), F.col("c").alias("cy"), "outside")
+    earlier = F.expr("exists(sequence(0, band - 1), i -> x.bands[i] = y.bands[i])")
+    once = (~F.col("outside") | (F.col("x.node") < F.col("y.node"))) & ((F.col("band") == 0) | ~earlier)
+    met = x.join(y, ["band", "key"]).filter((F.col("cx") != F.col("cy")) & _may_be_near("x", "y") & once)
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, h, kept_doc_id, kept_h) for each row of ``docs`` (doc_id, text): h is the text's hash,
     kept_* name the row of the smallest (doc_id, h) that links reach, rows without doc_id last.
@@ -116,8 +132,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts link where their shingles have a similarity of 0.8 or more; texts of the same words always
     do, those without words among them. Repeated rows stay repeated. Links are sought from each text to
     the most central one of its bucket, then between what is not connected yet: among all of a small bucket,
-    and in one of more than SMALL_BUCKET texts with its SLOTS most central ones, so that work grows with the
-    bucket and not with its square.
+    and in one of more than SMALL_BUCKET texts first with its SLOTS most central ones. Last, what is still
+    outside a large bucket's largest component meets all others of the bucket. Of two texts that no path
+    connects one is outside, so no pair of a bucket is left out.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("h"), F.encode("text", "UTF-8").alias("text"))
     all_rows = cut(_sketches(rows), "sketches")
@@ -143,7 +160,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     y = few.select("band", "key", F.col("t").alias("y"), F.col("c").alias("cy"), F.lit(True).alias("few")).unionByName(central.select("band", "key", "r.t", "r.c", F.lit(False).alias("few")).toDF("band", "key", "y", "cy", "few"))
     met = x.join(y, ["band", "key"]).filter(((F.col("x.node") < F.col("y.node")) | ~F.col("few")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y"))
     links = _verified(cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pair-candidates"), rows, first)
-    comps = connected_components(cut(stars.unionByName(links), "near-links"))
+    so_far = cut(stars.unionByName(links), "links-so-far")
+    rest = _verified(cut(_left_over(many, connected_components(so_far), first), "rest-candidates"), rows, first)
+    comps = connected_components(cut(so_far.unionByName(rest), "near-links"))
     linked = comps.join(first, "node").select("node", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("kept"))
     mapped = linked.join(least, "component").select("node", "kept")

@@ -325,10 +325,11 @@ class Router:
             left.remove(best)
         return out
 
-    def route(self, own: np.ndarray) -> list[int]:
-        """Of a document's distinct ids."""
-        near = np.ones(len(own), np.float32) @ self.weights.take(own, axis=0)
-        return [int(near.argmax()), *own[self.clock.take(own, axis=0).argmin(axis=0)].tolist()]
+
+def route(own: np.ndarray, weights: np.ndarray, clock: np.ndarray) -> list[int]:
+    """Where a document of the distinct ids ``own`` goes, by a router's arrays."""
+    near = np.ones(len(own), np.float32) @ weights.take(own, axis=0)
+    return [int(near.argmax()), *own[clock.take(own, axis=0).argmin(axis=0)].tolist()]
 
 
 def fit_router(docs: DataFrame, encoder: Encoder) -> Router:
@@ -336,7 +337,9 @@ def fit_router(docs: DataFrame, encoder: Encoder) -> Router:
     characters aside. Ids alone are ranked; then the few texts come to the driver."""
     named = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").filter("doc_id is not null")
     ranked = named.select("h").distinct().orderBy("h").limit(PIVOT_SAMPLE).agg(F.max("h").alias("h")).first().h
-    rows = [] if ranked is None else named.filter((F.col("h") <= ranked) & F.length("text").between(1, PIVOT_CHARS)).select("text").limit(PIVOT_SAMPLE).collect()
+    few = named.filter((F.col("h") <= ranked) & F.length("text").between(1, PIVOT_CHARS)) if ranked is not None else None
+    # Of repeated ids the least text counts, so neither partitions nor their order change what is fitted.
+    rows = [] if few is None else few.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     return Router([x for x in encoder.encode_all([r.text for r in rows]) if len(x)], encoder.terms)
 
 
@@ -348,10 +351,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, router: Router) -> Da
     little-endian bytes. Besides, counts of each task without ids: (term, n), that of a term's documents, of all
     documents as term -1 and of all ids as term -2."""
     schema = "doc_id long, ids binary, " + ", ".join(f"{c} int" for c in ROUTE) + ", term int, n long"
-    kept = docs.sparkSession.sparkContext.broadcast(router)  # of fixed size: vocabulary x (PIVOTS + DRAWS)
+    # Plain arrays, which a worker without this package can read; of fixed size: vocabulary x (PIVOTS + DRAWS).
+    kept = docs.sparkSession.sparkContext.broadcast((router.weights, router.clock))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, router = kept_encoder(tokenizer_path), kept.value
+        encoder, arrays = kept_encoder(tokenizer_path), kept.value
         df, n, size = np.zeros(encoder.terms, np.int64), 0, 0
         names = ["doc_id", "ids", *ROUTE, "term", "n"]
         for b in batches:
@@ -363,9 +367,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, router: Router) -> Da
                 own = _distinct(ids)
                 df[own] += 1
                 n, size = n + 1, size + len(ids)
-                rows.append((ids.tobytes(), *router.route(own)))
-            ids, *route = zip(*rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *(pa.array(c, pa.int32()) for c in route), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())], names)
+                rows.append((ids.tobytes(), *route(own, *arrays)))
+            ids, *routes = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), *(pa.array(c, pa.int32()) for c in routes), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.int64())], names)
         if n:
             at = np.flatnonzero(df)
             none = [pa.nulls(len(at) + 2, t) for t in (pa.int64(), pa.binary(), *[pa.int32()] * len(ROUTE))]

@@ -168,6 +168,18 @@ class _Index:
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 
 
+def _blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of ``texts`` to index together, with the place of the first; null texts are empty."""
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo == BLOCK_ROWS or size + len(t or b"") > BLOCK_BYTES):
+            yield lo, [x or b"" for x in texts[lo:k]]
+            lo, size = k, 0
+        size += len(t or b"")
+    if texts:
+        yield lo, [x or b"" for x in texts[lo:]]
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans) for each row of ``docs`` (doc_id, text): each rule's matches by start, then by
     the rules' order; start and end are code points, end is exclusive.
@@ -178,25 +190,14 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = [trigram_query(r.pattern) for r in rules]
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def blocks(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-        ids, texts, size = [], [], 0
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            t = t or b""
-            if ids and (len(ids) == BLOCK_ROWS or size + len(t) > BLOCK_BYTES):
-                yield ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-        if ids:
-            yield ids, texts
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regexes = [re.compile(r.pattern, re.ASCII) for r in rules]
         wanted = np.zeros(1 << 24, bool)
         wanted[sorted(set().union(*(_trigrams(q) for q in queries)))] = True
         for b in batches:
-            for ids, texts in blocks(b):
+            all_ids = b.column(0).to_pylist()
+            for lo, texts in _blocks(b.column(1).to_pylist()):
+                ids = all_ids[lo : lo + len(texts)]
                 index, found, strings = _Index(texts, wanted), [[] for _ in ids], {}
                 for k, (rule, regex, query) in enumerate(zip(rules, regexes, queries)):
                     for d in index.ask(query).tolist():
@@ -217,8 +218,9 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each stretch of text that spans cover replaced by ``mask``; other columns, row
-    count and null texts stay."""
+    """``docs`` with each stretch of text that matches cover replaced by ``mask``; matches that overlap, of one
+    rule or of several, are one stretch with one mask. Other columns, whatever their names, row count, repeated
+    rows, null and empty texts stay; an empty table stays empty. Texts of any length are scanned whole."""
     regexes = [(r, trigram_query(r.pattern)) for r in rules]
     schema = docs.schema
     at = schema.names.index("text")
@@ -229,9 +231,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         wanted[sorted(set().union(*(_trigrams(q) for _, q in regexes)))] = True
         for b in batches:
             texts = b.column(at).to_pylist()
-            for lo in range(0, len(texts), BLOCK_ROWS):
-                part = texts[lo : lo + BLOCK_ROWS]
-                index = _Index([(t or "").encode() for t in part], wanted)
+            for lo, block in _blocks([None if t is None else t.encode() for t in texts]):
+                part = texts[lo : lo + len(block)]
+                index = _Index(block, wanted)
                 found: dict[int, list] = {}
                 for (rule, query), regex in zip(regexes, compiled):
                     for d in index.ask(query).tolist():

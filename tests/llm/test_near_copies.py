@@ -42,3 +42,21 @@ def test_near_copies_with_edited_words_link(make):
 
 def test_empty_table(make):
     assert near_copies.near_copies(make([])).collect() == []
+
+
+def test_a_bucket_of_hundreds_of_near_copies_loses_no_pair(make, monkeypatch):
+    """Copies edited so far that most pairs are below 0.8, and those above form many groups."""
+    rng = random.Random(4)
+    base, docs = [f"w{k}" for k in range(120)], []
+    for g in range(60):
+        root = list(base)
+        for k in rng.sample(range(120), 5):
+            root[k] = f"g{rng.randrange(4000)}"
+        for e in range(6):
+            own = list(root)
+            own[rng.randrange(120)] = f"x{rng.randrange(4000)}"
+            docs.append((10 * g + e, " ".join(own)))
+    monkeypatch.setattr(near_copies, "SMALL_BUCKET", 8)
+    got = {r.doc_id: r.kept_doc_id for r in near_copies.near_copies(make(docs)).collect()}
+    want = brute(docs)
+    assert got == want and len(set(want.values())) > 20
