@@ -2,17 +2,18 @@
 
 A stage is a function of (spark, docs, sf_dir); ``run`` writes each one's result as Parquet in the
 shared folder and gives it to the next as its ``docs``. All stages but the last return the columns of
-documents, whatever these are besides doc_id, text and n_chars. An empty table stays empty. A null text
-counts as an empty one; a null doc_id is a value like others, but in the classifier's sample.
+documents, whatever these are besides doc_id, text and n_chars (a dot in a name aside). An empty table stays empty. A null text
+counts as an empty one; a null doc_id is a value like others, but in the classifier's sample. A doc_id is a
+whole number, or a text of one. Texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm import decontaminate, near_copies, packing, quality, secret_scan
-from tapeloom.llm.common import cut, held_out, load, small_side
+from tapeloom.llm.common import cut, held_out, load, own_columns, small_side, unused
 from tapeloom.llm.queries import tokenizer_path
 
 #: Documents that score less go.
@@ -20,26 +21,34 @@ LEAST_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the factorisation machine does not reject."""
+    """Keeps the documents that the factorisation machine does not reject. Repeated rows share their fate;
+    columns of any other name stay as they are."""
     labels = load(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
     machine = quality.train(docs, labels)
-    return quality.score(docs, machine, "_fm_score").filter(F.col("_fm_score") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = unused(docs, "score")
+    return quality.score(docs, machine, score).filter(F.col(score) >= LEAST_QUALITY).select(*own_columns(docs))
+
+
+def _same(docs: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, Column]:
+    """``rows`` (doc_id, h), written, and the condition that joins them to ``docs``, h being the text's hash:
+    rows of one doc_id are told apart, and repeated rows share their fate."""
+    d, h = unused(docs, "row_id", "row_hash")
+    rows = cut(rows.select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct(), name)
+    return small_side(rows), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (near_copies.text_hash() == F.col(h))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows in ``gone`` (doc_id, h), h being the text's hash: rows of one doc_id
-    are told apart, and repeated rows share their fate."""
-    gone = cut(gone.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")).distinct(), "gone")
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (near_copies.text_hash() == F.col("_h"))
-    return docs.join(small_side(gone), same, "left_anti").select(*docs.columns)
+    """``docs`` without the rows in ``gone`` (doc_id, h)."""
+    gone, same = _same(docs, gone, "gone")
+    return docs.join(gone, same, "left_anti").select(*own_columns(docs))
 
 
 def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` with one row of each (doc_id, h) in ``repeated``; other rows are not shuffled."""
-    again = small_side(cut(repeated.select(F.col("doc_id").alias("_doc_id"), F.col("h").alias("_h")), "repeated"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (near_copies.text_hash() == F.col("_h"))
-    one = docs.join(again, same, "left_semi").withColumn("_h", near_copies.text_hash()).dropDuplicates(["doc_id", "_h"])
-    return docs.join(again, same, "left_anti").unionByName(one.select(*docs.columns))
+    again, same = _same(docs, repeated, "repeated")
+    (h,) = unused(docs, "row_hash")
+    one = docs.join(again, same, "left_semi").withColumn(h, near_copies.text_hash()).dropDuplicates(["doc_id", h])
+    return docs.join(again, same, "left_anti").unionByName(one.select(*own_columns(docs)))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,13 +71,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps all documents, their secrets masked; n_chars follows the text."""
+    """Keeps all documents, their secrets masked; n_chars follows the text. Repeated rows stay, null and empty
+    texts too."""
     masked = secret_scan.redact(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*own_columns(docs))
 
 
 def bm25_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4,096 tokens, with their ids."""
+    """The pieces of all documents in sequences of 4,096 tokens, with their ids. Repeated rows are packed as
+    often as they come; null and empty texts are the end's id alone; other columns are left out."""
     return packing.pack(docs, tokenizer_path(), with_ids=True)
 
 
