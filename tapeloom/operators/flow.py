@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators.ranges import bucket_of
 from tapeloom.sources.schemas import TICK
 
 
@@ -26,11 +27,48 @@ def batch_flow(numbered: DataFrame, batches: DataFrame) -> DataFrame:
     return live.join(flow, ["session_id", "batch_id"])
 
 
+FLOWS = ("trade_signed", "trade_count", "cancel_bid", "cancel_ask", "add_bid", "add_ask")
+
+
+class Trailing:
+    """Sums over (t - window, t] at each row of ``rows`` (by, at), with time cut into ranges of one window.
+
+    A window ends in its row's range and begins in the range before. So each row goes to its own range, where it
+    comes at t, and to the next, where it leaves at t + window: the sum is the total of the range before and what
+    came, less what left, a running sum. Work grows with the rows, not with rows x window, and a task has
+    two ranges of a key.
+    """
+
+    def __init__(self, rows: DataFrame, by: list[str], at: str, window: int, ties: str):
+        self.names = rows.columns
+        here = rows.withColumns({"_range": bucket_of(at, window), "_key": F.col(at), "_t": F.col(at), "_own": F.lit(True)})
+        later = rows.withColumns({"_range": bucket_of(at, window) + 1, "_key": F.col(at) + window, "_t": F.col(at), "_own": F.lit(False)})
+        self.rows, self.ties = here.unionByName(later), ties
+        self.whole = Window.partitionBy(*by, "_range")
+        self.upto = self.whole.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
+        #: In order of time, the range before first.
+        self.line = self.whole.orderBy("_t", ties)
+
+    def sum(self, v: Column) -> Column:
+        left = F.coalesce(F.sum(F.when(~F.col("_own"), v)).over(self.whole), F.lit(0))
+        return left + F.sum(F.when(F.col("_own"), v).otherwise(-v)).over(self.upto)
+
+    def first(self, name: str) -> Column:
+        """The value of the window's first row, by a column ``name`` and the one that ``following`` made of it."""
+        out = F.max_by(f"_next_{name}", F.when(~F.col("_own"), F.struct("_t", self.ties))).over(self.upto)
+        return F.coalesce(out, F.first(name).over(self.line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    def following(self, *names: str) -> None:
+        self.rows = self.rows.withColumns({f"_next_{n}": F.lead(n).over(self.line) for n in names})
+
+    def with_columns(self, **columns: Column) -> DataFrame:
+        return self.rows.withColumns(columns).filter("_own").select(*self.names, *columns)
+
+
 def trailing_flow(flow: DataFrame, window_ns: int) -> DataFrame:
     """Sums of each flow over (obs - window, obs], at every batch."""
-    w = Window.partitionBy("session_id").orderBy("obs_ns").rangeBetween(-(window_ns - 1), 0)
-    names = ("trade_signed", "trade_count", "cancel_bid", "cancel_ask", "add_bid", "add_ask")
-    return flow.select("session_id", "batch_id", "obs_ns", *(F.sum(n).over(w).alias(n) for n in names))
+    t = Trailing(flow.select("session_id", "batch_id", "obs_ns", *(F.col(n).alias(f"_{n}") for n in FLOWS)), ["session_id"], "obs_ns", window_ns, "batch_id")
+    return t.with_columns(**{n: t.sum(F.col(f"_{n}")) for n in FLOWS}).select("session_id", "batch_id", "obs_ns", *FLOWS)
 
 
 def mid_moves(samples: DataFrame, vol_ns: int, change_ns: int) -> DataFrame:
@@ -38,25 +76,21 @@ def mid_moves(samples: DataFrame, vol_ns: int, change_ns: int) -> DataFrame:
     obs_ns, mid2), in ticks.
 
     The volatility is the population deviation of the changes between samples that both lie in the
-    window: of the frame's changes the first is left out, as it comes from before. Sums are of whole
-    half ticks, so they are exact.
+    window: of the window's changes the first is left out, as it comes from before. So a change is only asked for
+    where both of its samples lie in two ranges side by side. Sums are of whole half ticks, so they are exact.
     """
-    order = Window.partitionBy("session_id").orderBy("obs_ns", "batch_id")
-    rows = samples.withColumn("k", F.coalesce(((F.col("mid2") - F.lag("mid2").over(order)) / TICK).cast("long"), F.lit(0)))
-    vol = Window.partitionBy("session_id").orderBy("obs_ns").rangeBetween(-(vol_ns - 1), 0)
-    near = Window.partitionBy("session_id").orderBy("obs_ns").rangeBetween(-(change_ns - 1), 0)
-    rows = rows.withColumns(
-        {
-            "n": F.count("*").over(vol) - 1,
-            "s1": F.sum("k").over(vol) - F.first("k").over(vol),
-            "s2": F.sum(F.col("k") * F.col("k")).over(vol) - F.first(F.col("k") * F.col("k")).over(vol),
-            "near": F.count("*").over(near),
-            "from2": F.first("mid2").over(near),
-        }
-    )
+    vol = Trailing(samples.select("session_id", "batch_id", "obs_ns", "mid2"), ["session_id"], "obs_ns", vol_ns, "batch_id")
+    change = ((F.col("mid2") - F.lag("mid2").over(vol.line)) / TICK).cast("long")
+    vol.rows = vol.rows.withColumn("k", F.coalesce(change, F.lit(0)))
+    vol.following("k")
+    square = F.col("k") * F.col("k")
+    rows = vol.with_columns(n=vol.sum(F.lit(1)) - 1, s1=vol.sum(F.col("k")) - vol.first("k"), s2=vol.sum(square) - vol.first("k") * vol.first("k"))
+    near = Trailing(rows, ["session_id"], "obs_ns", change_ns, "batch_id")
+    near.following("mid2")
+    rows = near.with_columns(near=near.sum(F.lit(1)), from2=near.first("mid2"))
     spread = F.sqrt((F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")).cast("double")) / F.col("n") / 2
-    change = (F.col("mid2") - F.col("from2")) / (2.0 * TICK)
-    return rows.select("session_id", "batch_id", "obs_ns", F.when(F.col("n") < 1, 0.0).otherwise(spread).alias("mid_vol"), F.when(F.col("near") < 2, 0.0).otherwise(change).alias("mid_change"))
+    moved = (F.col("mid2") - F.col("from2")) / (2.0 * TICK)
+    return rows.select("session_id", "batch_id", "obs_ns", F.when(F.col("n") < 1, 0.0).otherwise(spread).alias("mid_vol"), F.when(F.col("near") < 2, 0.0).otherwise(moved).alias("mid_change"))
 
 
 def quote_age(quotes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -132,14 +133,118 @@ class ActionModel:
 
 def fit_action(df: DataFrame, names: list[str], miss: str, cost: str, alpha: float = 1.0) -> ActionModel:
     """The miss model learns from all rows, the cost model from those with a cost."""
+    model = fit_miss(df, names, miss)
+    model.cost_coef, model.cost_bias = fit_ridge(df.filter(F.col(cost).isNotNull()), model.scaler, cost, alpha)
+    model.alpha = alpha
+    return model
+
+
+def fit_miss(df: DataFrame, names: list[str], miss: str) -> ActionModel:
+    """A model of the miss alone; of a single class it is the constant rate."""
     scaler = fit_scaler(df, names)
     rate, n = df.agg(F.avg(F.col(miss).cast("double")), F.count("*")).first()
     coef, bias, constant = [0.0] * len(names), 0.0, rate
     if rate is not None and 0 < rate < 1:
         fit = LogisticRegression(regParam=1 / n, standardization=False, maxIter=200, tol=1e-9).fit(_assembled(df, scaler, F.col(miss)))
         coef, bias, constant = fit.coefficients.toArray().tolist(), fit.intercept, None
-    cost_coef, cost_bias = fit_ridge(df.filter(F.col(cost).isNotNull()), scaler, cost, alpha)
-    return ActionModel(scaler, constant, coef, bias, cost_coef, cost_bias, alpha)
+    return ActionModel(scaler, constant, coef, bias, [0.0] * len(names), 0.0, 0.0)
+
+
+@dataclass
+class Moments:
+    """Counts and sums of features x and a target y, of which every ridge fit and squared error follows; those
+    of two sets of rows add up."""
+
+    n: float
+    x: np.ndarray
+    y: float
+    xx: np.ndarray
+    xy: np.ndarray
+    yy: float
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(*(a + b for a, b in zip(vars(self).values(), vars(other).values())))
+
+    def scale(self) -> tuple[np.ndarray, np.ndarray]:
+        """Means and population deviations; 1 for a constant."""
+        mean = self.x / self.n
+        var = np.diag(self.xx) / self.n - mean**2
+        return mean, np.where(var > 1e-12 * (1 + mean**2), np.sqrt(np.maximum(var, 0)), 1.0)
+
+    def ridge(self, alpha: float) -> tuple[np.ndarray, float]:
+        """Coefficients of raw features and bias of least squares on standardised features with penalty
+        alpha |w|^2; the bias is free."""
+        mean, std = self.scale()
+        centred = (self.xx - self.n * np.outer(mean, mean)) / np.outer(std, std)
+        w = np.linalg.solve(centred + alpha * np.eye(len(mean)), (self.xy - self.n * mean * (self.y / self.n)) / std) / std
+        return w, self.y / self.n - float(w @ mean)
+
+    def mse(self, w: np.ndarray, bias: float) -> float:
+        """The mean squared error of w.x + bias over these rows."""
+        square = self.yy + w @ self.xx @ w + self.n * bias**2 - 2 * w @ self.xy - 2 * bias * self.y + 2 * bias * (w @ self.x)
+        return float(square) / self.n
+
+
+def moments(df: DataFrame, names: list[str], target: str, by: list[str]) -> dict[tuple, Moments]:
+    """The moments of each group of ``by``, from one pass; rows with a null feature or target are left out. What
+    comes to the driver is a matrix of features x features for each group, such as a session."""
+    p = len(names)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    rows = df.select(*by, *(F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)), F.col(target).cast("double").alias("y")).dropna(subset=[f"x{k}" for k in range(p)] + ["y"])
+    of = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = [F.count("*").alias("n"), F.sum("y").alias("y"), of("y", "y").alias("yy"), F.array(*(F.sum(f"x{k}") for k in range(p))).alias("x"), F.array(*(of(f"x{k}", "y") for k in range(p))).alias("xy"), F.array(*(of(f"x{i}", f"x{j}") for i, j in pairs)).alias("xx")]
+    out = {}
+    for r in rows.groupBy(*by).agg(*sums).orderBy(*by).collect():
+        xx = np.zeros((p, p))
+        for (i, j), v in zip(pairs, r.xx):
+            xx[i, j] = xx[j, i] = v
+        out[tuple(r[c] for c in by)] = Moments(float(r.n), np.array(r.x), r.y, xx, np.array(r.xy), r.yy)
+    return out
+
+
+def ridge_trials(by_session: list[tuple[str, Moments]], grid=ALPHA_GRID) -> list[tuple[str, float, float, int]]:
+    """(session, alpha, mse, n_train) of each session but the first under fits on all sessions before it, for
+    each alpha of the grid. Prefixes are running sums of moments, so rows are read once however many fits there
+    are."""
+    out, before = [], None
+    for name, own in by_session:
+        if before is not None:
+            out += [(name, alpha, own.mse(*before.ridge(alpha)), int(before.n)) for alpha in grid]
+        before = own if before is None else before + own
+    return out
+
+
+def choose_alpha(by_session: list[tuple[str, Moments]], grid=ALPHA_GRID) -> float:
+    """The grid's first alpha of least error on the last session, of fits on those before it; with one session
+    there is nothing to choose by, and the grid's first counts."""
+    last = [(mse, k) for k, (name, _, mse, _) in enumerate(ridge_trials(by_session, grid)) if name == by_session[-1][0]]
+    return grid[min(last)[1] % len(grid)] if last else grid[0]
+
+
+def fit_action_by_moments(df: DataFrame, names: list[str], miss: str, cost: str, grid=ALPHA_GRID) -> ActionModel:
+    """An action's models: the miss model learns from all rows of ``df`` (session_id, names, miss, cost), the cost
+    model from those with a cost, with the alpha that its last session chooses, refitted on all."""
+    found = sorted((k[0], v) for k, v in moments(df, names, cost, ["session_id"]).items())
+    if not found:
+        raise ValueError("no rows with a cost to learn from")
+    alpha, total = choose_alpha(found, grid), found[0][1]
+    for _, own in found[1:]:
+        total = total + own
+    model = fit_miss(df, names, miss)
+    w, bias = total.ridge(alpha)
+    # Scoring goes by the scaler of the miss model.
+    std = np.array([s or 1.0 for s in model.scaler.std])
+    model.cost_coef, model.cost_bias, model.alpha = (w * std).tolist(), bias + float(w @ np.array(model.scaler.mean)), alpha
+    return model
+
+
+def support_rule(df: DataFrame, names: list[str], min_rows: int, margin: float) -> Column:
+    """Whether a row lies within the features' ranges in ``df``, each widened by ``margin`` of its width."""
+    r = df.agg(F.count("*").alias("n"), *(f(n).alias(f"{k}{i}") for i, n in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not r.n:
+        return F.lit(False)
+    wide = [(r[f"hi{i}"] - r[f"lo{i}"]) * margin for i in range(len(names))]
+    return supported(names, [r[f"lo{i}"] - w for i, w in enumerate(wide)], [r[f"hi{i}"] + w for i, w in enumerate(wide)], r.n, min_rows)
 
 
 def fit_ridge(df: DataFrame, scaler: Scaler, target: str, alpha: float) -> tuple[list[float], float]:

@@ -12,18 +12,19 @@ def bucket_of(at: Column | str, width: int) -> Column:
     return F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))
 
 
-def running_total(rows: DataFrame, by: list[str], order: str, value: str, name: str, width: int = 1 << 20) -> DataFrame:
-    """``rows`` with ``name``: the sum of ``value`` over the rows of the same ``by`` (never null) before each, by ``order``.
+def running_total(rows: DataFrame, by: list[str], order: str, value: str, name: str, width: int = 1 << 20, *ties: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over the rows of the same ``by`` (never null) before each, by ``order``
+    and then by ``ties``.
 
     Sums run within ranges of ``width`` of ``order``, and totals of the ranges before are added, so no
     task sorts a whole key.
     """
     cut = rows.withColumn("_bucket", bucket_of(order, width))
     sums = cut.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
-    past = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda keys, *at: Window.partitionBy(*keys).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0).cast("long"))
     before = sums.select(*by, "_bucket", zero("_sum", past(by, "_bucket")).alias("_before"))
-    own = cut.withColumn("_own", zero(value, past([*by, "_bucket"], order)))
+    own = cut.withColumn("_own", zero(value, past([*by, "_bucket"], order, *ties)))
     return own.join(before, [*by, "_bucket"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_bucket", "_before", "_own")
 
 

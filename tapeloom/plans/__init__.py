@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from tapeloom.plans import learning, market, studies
+    from tapeloom.plans import learning, market, orders, studies
 
-    return (market, studies, learning)
+    return (market, orders, studies, learning)
 
 
 def queries() -> dict:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators import features as F_
 from tapeloom.operators import models as M
-from tapeloom.plans.market import Market, _outcomes
+from tapeloom.operators.study import risk_allowance_choice
+from tapeloom.plans.market import HOUR, Market, _flows, _outcomes
+from tapeloom.plans.orders import branch_labels, estimates, queue_orders
 from tapeloom.sources.schemas import TICK
+from tapeloom.sources.tables import written
 
 FEATURES = ["imbalance_1", "imbalance_3", "spread_ticks", "depth_bid_3", "depth_ask_3"]
 
@@ -37,23 +41,69 @@ def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each development session but the first, scored by a model of all those before."""
-    rows = _samples(spark, sf_dir).checkpoint()  # read by a fit for each session
+    rows = written(_samples(spark, sf_dir))  # read by a fit for each session
     dev, _, _ = _split(rows)
     return M.forward_chained(rows, dev, FEATURES, "label").select("session_id", "batch_id", "label", "signal")
 
 
-def action_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Miss and cost of holding and of switching, for each scenario, from the worlds' outcomes."""
-    out = _outcomes(Market(spark, sf_dir)).filter("deadline_cost_ticks is not null and policy_id <> 'B0'")
-    side, slow = F.when(F.col("task_id").endswith("B"), 1.0).otherwise(-1.0), (F.col("scenario_id") == "L6").cast("double")
-    rows = out.select("policy_id", (F.col("status") == "DEADLINE_MISS").cast("int").alias("miss"), "deadline_cost_ticks", side.alias("side"), slow.alias("slow")).checkpoint()
-    frames = []
-    for policy in ("B1", "PROBE_SWITCH"):
-        own = rows.filter(F.col("policy_id") == policy)
-        model = M.fit_action(own, ["side", "slow"], "miss", "deadline_cost_ticks")
-        frames.append(own.groupBy("policy_id", "side", "slow").agg(F.count("*").alias("n")).select("policy_id", "side", "slow", "n", model.miss().alias("p_miss"), model.cost().alias("cost")))
-    return frames[0].unionByName(frames[1])
-
-
-QUERIES = {"price_model": price_model, "oof_signal": oof_signal, "action_model": action_model}
+#: The arms of the action policy and what each may know of a checkpoint; price signals are left out.
+ARMS = {"B3": F_.MARKET + F_.MECHANICS + F_.QUEUE, "B3_NO_QUEUE": F_.MARKET + F_.MECHANICS}
+EPSILON, LEAST_ROWS, MARGIN = 0.01, 20, 0.1
+
+
+class Actions:
+    """The action policy's training frame and models: labels of both branches of the development sessions' eligible
+    checkpoints, with the features of the checkpoint."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.m = m = Market(spark, sf_dir)
+        orders = m.keep(queue_orders(m))
+        market = F_.market_features(m.live_quotes, _flows(m), HOUR, 5 * HOUR)
+        self.features = m.keep(F_.checkpoint_features(orders, market, estimates(m, orders)))
+        self.rows = m.keep(branch_labels(m).join(self.features.drop("session_id"), ["task_id", "scenario_id"]))
+        self.train, self.validation, self.test = _split(self.features)
+
+    def learning(self, arm: str) -> DataFrame:
+        """Rows whose features are all known; the others are left to the fallback."""
+        names = ARMS[arm]
+        F_.check_allowed(names, arm)
+        return self.rows.filter(F.col("session_id").isin(self.train)).dropna(subset=names)
+
+    def decided(self) -> DataFrame:
+        """(task_id, scenario_id, session_id, policy_id, p_hold, p_switch, v_hold, v_switch, supported, choice, reason)
+        at every checkpoint of the later sessions."""
+        later = self.features.filter(~F.col("session_id").isin(self.train))
+        parts = []
+        for arm, names in ARMS.items():
+            own = self.learning(arm)
+            hold, switch = (M.fit_action_by_moments(own.filter(F.col("action") == a), names, "miss", "cost") for a in ("HOLD", "SWITCH"))
+            ok = M.support_rule(own, names, LEAST_ROWS, MARGIN)
+            scored = later.select("task_id", "scenario_id", "session_id", F.lit(arm).alias("policy_id"), hold.miss().alias("p_hold"), switch.miss().alias("p_switch"), hold.cost().alias("v_hold"), switch.cost().alias("v_switch"), ok.alias("supported"))
+            pick = risk_allowance_choice(F.col("p_hold"), F.col("p_switch"), F.col("v_hold"), F.col("v_switch"), F.lit(EPSILON), F.col("supported"))
+            parts.append(scored.withColumn("d", pick).select(*scored.columns, "d.choice", "d.reason"))
+        return self.m.keep(parts[0].unionByName(parts[1]))
+
+
+def alpha_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arm's and action's error on each development session but the first, of fits on all before it, for each
+    penalty; the last session's errors choose."""
+    found = Actions(spark, sf_dir)
+    out = []
+    for arm, names in ARMS.items():
+        by = M.moments(found.learning(arm), names, "cost", ["action", "session_id"])  # few: one for each session
+        for action in ("HOLD", "SWITCH"):
+            own = sorted((s, v) for (a, s), v in by.items() if a == action)
+            best = M.choose_alpha(own) if own else None
+            out += [(arm, action, s, alpha, mse, n, alpha == best) for s, alpha, mse, n in M.ridge_trials(own)]
+    return spark.createDataFrame(out, "policy_id string, action string, session_id string, alpha double, mse double, n_train long, chosen boolean")
+
+
+def b3_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the action policy's worlds of the later sessions end in."""
+    found = Actions(spark, sf_dir)
+    later = found.m.keep(found.m.grid.filter(~F.col("session_id").isin(found.train)))
+    return _outcomes(found.m, later, policies=tuple(ARMS), choices=found.decided())
+
+
+QUERIES = {"price_model": price_model, "oof_signal": oof_signal, "action_model": lambda s, d: Actions(s, d).decided(), "alpha_trials": alpha_trials, "b3_outcomes": b3_outcomes}
 ORACLE_SQL: dict[str, str] = {}

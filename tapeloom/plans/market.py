@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from tapeloom.operators import book, flow, quality
 from tapeloom.operators import tasks as T
 from tapeloom.operators import worlds as W
 from tapeloom.sources.schemas import THETAS
+from tapeloom.sources.tables import written
 from tapeloom.sources.tape import TAPE_SQL, load, tape
 
 #: The test tables' events lie minutes apart, so their windows are hours.
@@ -21,24 +21,13 @@ HOUR = 3_600_000_000_000
 MARKOUTS, MAX_AGE = [60_000_000_000, 600_000_000_000, HOUR], HOUR // 2
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df``, written to the checkpoint folder: for tables that one query reads many times. A cluster
-    names the folder in spark.checkpoint.dir; one machine without it gets a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}")
-    return df.checkpoint()
-
-
 class Market:
     """The tables that a session's records give, each built from the one before. With ``settle`` those
     that are read often are written once; without, a plan that reads one twice computes it twice."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, settle: bool = True):
         self.spark, self.records = spark, tape(spark, sf_dir)
-        keep = _settled if settle else lambda df: df
+        keep = written if settle else lambda df: df
         self.numbered = keep(B.number_batches(self.records))
         self.batches = keep(B.assemble(self.numbered))
         self.keep, self.made = keep, {}
@@ -186,7 +175,7 @@ def _sided(grid: DataFrame) -> DataFrame:
     return grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).withColumn("task_id", F.concat_ws(":", *names))
 
 
-def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), policies=W.POLICIES, thetas: dict | None = None) -> DataFrame:
+def _worlds(m: Market, grid: DataFrame | None = None, run=W.worlds, scenarios=("L1", "L6"), policies=W.POLICIES, thetas: dict | None = None, statuses: DataFrame | None = None, choices: DataFrame | None = None) -> DataFrame:
     """Every arrival's two tasks under each policy, in the primary and the slowest scenario."""
     tasks = _sided(m.grid if grid is None else grid).select("task_id", "session_id", "side", "arrival_ns", "deadline_ns")
     times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
@@ -195,7 +184,7 @@ def _worlds(m: Market, grid: DataFrame | None = None, scenarios=("L1", "L6"), po
     intervals = m.intervals
     resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
     fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
-    return W.worlds(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios, policies, m.keep, thetas, m.signals)
+    return run(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios=scenarios, policies=policies, keep=m.keep, thetas=thetas, signals=m.signals, statuses=statuses, choices=choices)
 
 
 def _outcomes(m: Market, grid: DataFrame | None = None, **of) -> DataFrame:
