@@ -6,7 +6,7 @@ however many tasks it has. Undefined stays null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["task_id", "scenario_id"]
@@ -74,13 +74,59 @@ def zero_event_bound(results: DataFrame, candidate: str) -> DataFrame:
     return d.select(none.alias("candidate_all_zero_miss"), F.when(none, F.round(1 - F.pow(F.lit(0.05), 1 / F.col("d")), 9)).alias("zero_event_upper_bound"))
 
 
-def pair_record(results: DataFrame, baseline: str, candidate: str) -> DataFrame:
-    """One row: cost and miss effects of a pair with the zero-event bound."""
-    pairs = validated(results, baseline, candidate)
-    named = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-    cost, miss = (named(effect(session_means(pairs, d)), p) for p, d in (("cost", cost_diff()), ("miss", miss_diff())))
-    # Each side is one row.
-    return cost.crossJoin(F.broadcast(miss)).crossJoin(F.broadcast(zero_event_bound(results, candidate))).select(F.lit(baseline).alias("baseline"), F.lit(candidate).alias("candidate"), "*")
+def stacked_means(results: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
+    """(baseline, candidate, by, effect, session_id, session_mean, n) of the cost and the miss effect of every pair:
+    each pair's rows meet once for both."""
+    out = None
+    for base, cand in pairs:
+        rows = validated(results, base, cand).withColumns({"cost": cost_diff(), "miss": miss_diff()})
+        part = rows.groupBy(*by, "session_id").agg(*(f(c).alias(f"{c}_{n}") for c in ("cost", "miss") for n, f in (("mean", F.avg), ("n", F.count))))
+        part = part.select(F.lit(base).alias("baseline"), F.lit(cand).alias("candidate"), "*")
+        out = part if out is None else out.unionByName(part)
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("effect"), F.col(f"{c}_mean").alias("session_mean"), F.col(f"{c}_n").alias("n")) for c in ("cost", "miss"))))
+    return out.withColumn("e", each).select("baseline", "candidate", *by, "session_id", "e.*")
+
+
+def resampled(sizes: DataFrame, replicates: int) -> DataFrame:
+    """(n_defined, replicate, pick, weight): for each number of sessions in ``sizes`` (n_defined) how often a replicate
+    draws each session, with replacement. A draw is an arithmetic hash of (replicate, place), so any engine repeats
+    it; one table serves all effects."""
+    reps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))
+    places = sizes.select("n_defined").distinct().filter("n_defined > 0").withColumn("r", reps).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_defined") - 1)))
+    pick = (F.col("r") * 7919 + F.col("k") * 104729 + F.col("r") * F.col("k") * 31) % 1000003 % F.col("n_defined")
+    return places.groupBy("n_defined", F.col("r").alias("replicate"), pick.alias("pick")).agg(F.count("*").alias("weight"))
+
+
+def resampled_intervals(means: DataFrame, by: list[str], replicates: int, alpha: float = 0.05) -> DataFrame:
+    """(by, lo, hi): percentile intervals of the mean of session means, whole sessions drawn. Null for fewer than two
+    defined sessions, or where all values are zero. Sessions are few beside tasks."""
+    w = Window.partitionBy(*by)
+    rows = means.filter("session_mean is not null").withColumns({"n_defined": F.count("*").over(w), "pick": (F.row_number().over(w.orderBy("session_id")) - 1).cast("long"), "most": F.max(F.abs("session_mean")).over(w)})
+    drawn = rows.join(resampled(rows, replicates), ["n_defined", "pick"])
+    stats = drawn.groupBy(*by, "n_defined", "most", "replicate").agg((F.sum(F.col("session_mean") * F.col("weight")) / F.col("n_defined")).alias("stat"))
+    band = stats.groupBy(*by, "n_defined", "most").agg(F.expr(f"percentile(stat, {alpha / 2})").alias("lo"), F.expr(f"percentile(stat, {1 - alpha / 2})").alias("hi"))
+    known = (F.col("n_defined") >= 2) & (F.col("most") > 0)
+    return band.select(*by, *(F.when(known, F.round(c, 9)).alias(c) for c in ("lo", "hi")))
+
+
+def zero_event_bounds(results: DataFrame, by: list[str]) -> DataFrame:
+    """(candidate, by, candidate_all_zero_miss, zero_event_upper_bound) of every policy: 1 - 0.05^(1/D) if no evaluable
+    row in D sessions misses, else null."""
+    rows = results.filter(F.col("status") != UNEVALUABLE).groupBy(F.col("policy_id").alias("candidate"), *by)
+    found = rows.agg(F.count_distinct("session_id").alias("d"), (F.count_if(F.col("status") == MISS) == 0).alias("none"))
+    return found.select("candidate", *by, F.col("none").alias("candidate_all_zero_miss"), F.when(F.col("none"), F.round(1 - F.pow(F.lit(0.05), 1 / F.col("d")), 9)).alias("zero_event_upper_bound"))
+
+
+def pair_records(results: DataFrame, pairs: list[tuple[str, str]], by: list[str], replicates: int) -> DataFrame:
+    """A row for each pair and ``by``: estimate, interval and counts of the cost and the miss effect, and the
+    zero-event bound of the candidate. A pair without a row of either policy in a group is left out of it."""
+    means = stacked_means(results, pairs, by)
+    keys = ["baseline", "candidate", *by]
+    found = effect(means, [*keys, "effect"]).join(resampled_intervals(means, [*keys, "effect"], replicates), [*keys, "effect"], "left")
+    fields = {"estimate": "estimate", "ci_lo": "lo", "ci_hi": "hi", "n_sessions_defined": "n_sessions_defined", "n_sessions_undefined": "n_sessions_undefined", "n_tasks": "n_tasks"}
+    wide = found.groupBy(*keys).agg(*(F.max(F.when(F.col("effect") == e, F.col(c))).alias(f"{e}_{n}") for e in ("cost", "miss") for n, c in fields.items()))
+    out = wide.join(zero_event_bounds(results, by), ["candidate", *by], "left")
+    return out.withColumn("candidate_all_zero_miss", F.coalesce("candidate_all_zero_miss", F.lit(False)))
 
 
 def policy_distribution(results: DataFrame) -> DataFrame:
@@ -99,8 +145,6 @@ def bootstrap_interval(means: DataFrame, draws: DataFrame, alpha: float = 0.05)
     """(lo, hi) over ``draws`` (replicate, pick) of session numbers from 0; null for fewer than two
     defined sessions, or where all values are zero. Numbering sorts sessions only, which are few
     beside tasks."""
-    from pyspark.sql import Window
-
     defined = means.filter("session_mean is not null")
     numbered = defined.select("session_mean", (F.row_number().over(Window.orderBy("session_id")) - 1).alias("pick"))
     stats = draws.join(numbered, "pick").groupBy("replicate").agg(F.avg("session_mean").alias("stat"))
@@ -126,8 +170,6 @@ def risk_allowance_choice(p_hold: Column, p_switch: Column, v_hold: Column, v_sw
 def select_theta(validation: DataFrame, epsilon: float) -> DataFrame:
     """Each theta's session-weighted miss rate and cost, whether it is within ``epsilon`` of the least
     miss rate, and whether it is chosen: the cheapest such, the smaller on ties."""
-    from pyspark.sql import Window
-
     sessions = validation.groupBy("theta", "session_id").agg(F.avg("miss").alias("miss"), F.avg("c_t").alias("c_t"), F.count("*").alias("n"))
     trials = sessions.groupBy("theta").agg(F.round(F.avg("miss"), 9).alias("mean_miss_rate"), F.round(F.avg("c_t"), 9).alias("mean_c_t"), F.count("*").alias("n_sessions"), F.sum("n").alias("n_tasks"))
     every = Window.partitionBy(F.lit(0))  # over the few thetas of a menu
@@ -139,8 +181,6 @@ def select_theta(validation: DataFrame, epsilon: float) -> DataFrame:
 def support_gate(support: DataFrame, pilots: list[str], min_eligible: int, min_depletion: int) -> DataFrame:
     """(horizon_ns, min_eligible, min_queue_depletion, passes, chosen) of each horizon over the pilot
     sessions; a missing session counts 0; the shortest passing horizon is chosen."""
-    from pyspark.sql import Window
-
     wanted = support.sparkSession.createDataFrame([(p,) for p in pilots], "session_id string")
     grid = support.select("horizon_ns").distinct().crossJoin(F.broadcast(wanted))
     per = support.groupBy("horizon_ns", "session_id").agg(F.sum("eligible").alias("e"), F.sum("queue_depletion").alias("d"))

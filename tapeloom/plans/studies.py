@@ -13,7 +13,8 @@ from tapeloom.sources.tape import RESULTS_SQL, load, task_results
 PRIMARY = ("A", "R")
 SECONDARY = [("A", "N"), ("N", "R"), ("R", "A")]
 PILOTS, MIN_ELIGIBLE, MIN_DEPLETION = [f"1995-{m:02d}" for m in range(1, 7)], 20, 3
-BOOT = 400
+#: Replicates of every interval.
+BOOT = 2000
 
 
 def _l1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +44,16 @@ def session_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("session_id", F.round("session_mean", 9).alias("session_mean"), "n")
 
 
+def primary_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.pair_records(_l1(spark, sf_dir), [PRIMARY], [], BOOT)
+
+
 def secondary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _l1(spark, sf_dir)
-    return _union([S.pair_record(rows, *p) for p in SECONDARY])
+    return S.pair_records(_l1(spark, sf_dir), SECONDARY, [], BOOT)
 
 
 def latency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = task_results(spark, sf_dir)
-    return _union([S.pair_record(rows.filter(F.col("scenario_id") == s), *PRIMARY).withColumn("scenario_id", F.lit(s)) for s in ("L1", "L6")])
+    return S.pair_records(task_results(spark, sf_dir), [PRIMARY], ["scenario_id"], BOOT)
 
 
 def policy_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +223,7 @@ QUERIES = {
     "paired_effect": paired_effect,
     "paired_miss": paired_miss,
     "session_effects": session_effects,
-    "primary_pair": lambda s, d: S.pair_record(_l1(s, d), *PRIMARY),
+    "primary_pair": primary_pair,
     "secondary_pairs": secondary_pairs,
     "latency_table": latency_table,
     "policy_distribution": policy_distribution,
@@ -256,11 +259,20 @@ def _effects(diff: str) -> str:
     return f"{_R}, {_PAIRS.format(*PRIMARY)}, means as (select scenario_id, session_id, avg({diff}) as m, count({diff}) as n from pairs group by 1, 2) select scenario_id, {_EFFECT.format('')} from means group by 1"
 
 
+def _interval(means: str, name: str) -> str:
+    """The interval of session means (session_id, m) by every draw, one row."""
+    known = "(select count(*) >= 2 and max(abs(m)) > 0 from d)"
+    return f"""(with d as (select m, row_number() over (order by session_id) - 1 as i, count(*) over () as n from {means} where m is not null),
+      draws as (select r, (r * 7919 + k * 104729 + r * k * 31) % 1000003 % n as pick from range(0, {BOOT}) a(r), (select n, unnest(range(0, n)) as k from (select distinct n from d))),
+      s as (select r, avg(m) as stat from draws join d on d.i = draws.pick group by 1)
+      select case when {known} then round(quantile_cont(stat, 0.025), 9) end as {name}_ci_lo, case when {known} then round(quantile_cont(stat, 0.975), 9) end as {name}_ci_hi from s)"""
+
+
 def _record(base: str, cand: str, scenario: str = "L1", more: str = "") -> str:
     means = lambda d: f"(select session_id, avg({d}) as m, count({d}) as n from pairs where scenario_id = '{scenario}' group by 1)"
     return f"""(with {_PAIRS.format(base, cand)}, z as (select count(distinct session_id) as d, count(*) filter (status = 'DEADLINE_MISS') as k, count(*) as n from results where policy_id = '{cand}' and scenario_id = '{scenario}' and status <> 'TECHNICALLY_UNEVALUABLE')
-      select '{base}' as baseline, '{cand}' as candidate, c.*, x.*, n > 0 and k = 0 as candidate_all_zero_miss, case when n > 0 and k = 0 then round(1 - pow(0.05, 1.0 / d), 9) end as zero_event_upper_bound{more}
-      from (select {_EFFECT.format('cost_')} from {means(_COST)}) c, (select {_EFFECT.format('miss_')} from {means(_MISS)}) x, z)"""
+      select '{base}' as baseline, '{cand}' as candidate, c.*, x.*, ci.*, xi.*, n > 0 and k = 0 as candidate_all_zero_miss, case when n > 0 and k = 0 then round(1 - pow(0.05, 1.0 / d), 9) end as zero_event_upper_bound{more}
+      from (select {_EFFECT.format('cost_')} from {means(_COST)}) c, (select {_EFFECT.format('miss_')} from {means(_MISS)}) x, z, {_interval(means(_COST), 'cost')} ci, {_interval(means(_MISS), 'miss')} xi)"""
 
 
 _DEC = """log as (select l_orderkey as task_id, l_linenumber::bigint as time_ns, l_partkey as part, l_returnflag as variant, case when l_linenumber = 7 then 'nan'::double else round(l_discount * 100) / 100 end as p_hold,

@@ -111,3 +111,23 @@ def test_worlds_know_their_policies():
         worlds(None, None, None, None, None, None, policies=("B0", "B9"))
     with pytest.raises(ValueError, match="signals"):
         worlds(None, None, None, None, None, None, policies=("B0", "B2:0.1"), thetas={"B2:0.1": 0.1})
+
+
+def test_intervals_of_resampled_sessions(spark):
+    import numpy as np
+
+    values = {"x": [1.0, -2.0, 0.5, 4.0, None], "zero": [0.0, 0.0, 0.0], "one": [3.0]}
+    rows = [(g, f"s{k}", v) for g, vs in values.items() for k, v in enumerate(vs)]
+    got = {r.g: (r.lo, r.hi) for r in S.resampled_intervals(spark.createDataFrame(rows, "g string, session_id string, session_mean double"), ["g"], 300).collect()}
+    own = np.array([1.0, -2.0, 0.5, 4.0])
+    picks = np.array([[(r * 7919 + k * 104729 + r * k * 31) % 1000003 % 4 for k in range(4)] for r in range(300)])
+    lo, hi = np.quantile(own[picks].mean(axis=1), [0.025, 0.975])
+    assert np.allclose(got["x"], (lo, hi)) and lo < own.mean() < hi
+    assert got["zero"] == (None, None) and got["one"] == (None, None)
+
+
+def test_pair_records_by_scenario(spark):
+    rows = pair("a", "A", 4.0, 1.0) + pair("b", "B", 2.0, 1.0) + pair("c", "B", None, None, S.MISS)
+    r = S.pair_records(results(spark, rows), [("X", "Y")], ["scenario_id"], 200).first()
+    assert (r.cost_estimate, r.cost_n_sessions_defined, r.cost_n_tasks, r.miss_estimate, r.miss_n_tasks) == (2.0, 2, 2, 0.0, 3)
+    assert 1.0 <= r.cost_ci_lo < r.cost_ci_hi <= 3.0 and r.miss_ci_lo is None and not r.candidate_all_zero_miss
