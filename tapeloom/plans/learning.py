@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features as F_
 from tapeloom.operators import models as M
-from tapeloom.operators.study import risk_allowance_choice
-from tapeloom.plans.market import HOUR, Market, _flows, _outcomes
+from tapeloom.operators.asof import asof
+from tapeloom.operators.study import risk_allowance_choice, select_theta
+from tapeloom.plans.market import HOUR, RULES, Market, _flows, _outcomes
 from tapeloom.plans.orders import branch_labels, estimates, queue_orders
 from tapeloom.sources.schemas import TICK
 from tapeloom.sources.tables import written
@@ -16,11 +17,25 @@ from tapeloom.sources.tables import written
 FEATURES = ["imbalance_1", "imbalance_3", "spread_ticks", "depth_bid_3", "depth_ask_3"]
 
 
+#: How far ahead a price model looks, and a shorter lead for its variant.
+TAU, SHORT_TAU = HOUR // 2, HOUR // 6
+
+
+def price_samples(m: Market, tau_ns: int) -> DataFrame:
+    """Features of each valid quote as it reaches the client (t), and the direction of the market's mid from the batch's
+    time to ``tau_ns`` later: null past the session's last sample, or where the later state is invalid."""
+    q = m.keep(m.live_quotes.filter("mid2 is not null"))
+    probes = q.withColumn("at_ns", F.col("proxy_time_ns") + tau_ns)
+    later = asof(probes.select("session_id", "batch_id", "at_ns"), m.mids.withColumnRenamed("mid2", "later2"), ["session_id"], "at_ns", "t", "seq", ["later2"]).drop("sample_time", "at_ns")
+    last = m.mids.groupBy("session_id").agg(F.max("t").alias("last_t"))
+    rows = probes.join(later, ["session_id", "batch_id"]).join(last, "session_id")
+    move = F.signum((F.col("later2") - F.col("mid2")).cast("double")).cast("int")
+    spread, depths = ((F.col("ask_price") - F.col("bid_price")) / TICK).alias("spread_ticks"), [F.col(c).cast("double").alias(c) for c in ("depth_bid_3", "depth_ask_3")]
+    return rows.select("session_id", "batch_id", F.col("obs_ns").alias("t"), "imbalance_1", "imbalance_3", spread, *depths, F.when(F.col("at_ns") <= F.col("last_t"), move).alias("label"))
+
+
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of each valid quote and the direction of the next one's mid."""
-    q = Market(spark, sf_dir).quotes.filter("mid2 is not null")
-    later = F.lead("mid2", 3).over(Window.partitionBy("session_id").orderBy("batch_id"))
-    return q.select("session_id", "batch_id", "imbalance_1", "imbalance_3", ((F.col("ask_price") - F.col("bid_price")) / TICK).alias("spread_ticks"), F.col("depth_bid_3").cast("double").alias("depth_bid_3"), F.col("depth_ask_3").cast("double").alias("depth_ask_3"), F.signum((later - F.col("mid2")).cast("double")).cast("int").alias("label"))
+    return price_samples(Market(spark, sf_dir), TAU).drop("t")
 
 
 def _split(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
@@ -46,9 +61,34 @@ def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.forward_chained(rows, dev, FEATURES, "label").select("session_id", "batch_id", "label", "signal")
 
 
+def theta_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each price rule's validation trials and the theta that they choose, of models with either lead: fitted on the
+    development sessions, they give the signals that reach the client in the validation sessions, and the
+    rules' worlds there are compared. An evaluable task without a finite cost is an error."""
+    m = Market(spark, sf_dir)
+    out = None
+    for variant, tau in (("B2", TAU), ("B2_SHORT", SHORT_TAU)):
+        rows = m.keep(price_samples(m, tau))
+        dev, val, _ = _split(rows)
+        of = lambda s: rows.filter(F.col("session_id").isin(s))  # noqa: B023, E731
+        model = M.select_price(of(dev), of(val), FEATURES, "label")
+        signals = of(val).select("session_id", "t", F.col("batch_id").alias("seq"), model.signal().alias("signal"))
+        # A task without a reference mid is none to judge.
+        at = asof(m.grid.filter(F.col("session_id").isin(val)), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2")
+        grid = m.keep(at.filter("mid2 is not null").drop("mid2", "sample_time"))
+        found = _outcomes(m, grid, scenarios=("L1",), policies=tuple(RULES), thetas=RULES, signals=m.keep(signals)).filter("status <> 'TECHNICALLY_UNEVALUABLE'")
+        theta = F.substring_index("policy_id", ":", -1).cast("double")
+        cost = F.when(F.col("deadline_cost_ticks").isNull() | F.isnan("deadline_cost_ticks"), F.raise_error(F.lit("an evaluable task has no finite cost"))).otherwise(F.col("deadline_cost_ticks"))
+        trials = found.select(theta.alias("theta"), F.substring_index("task_id", ":", 1).alias("session_id"), (F.col("status") == "DEADLINE_MISS").cast("double").alias("miss"), cost.alias("c_t"))
+        part = select_theta(m.keep(trials), EPSILON).select(F.lit(variant).alias("variant"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+EPSILON = 0.01
 #: The arms of the action policy and what each may know of a checkpoint; price signals are left out.
 ARMS = {"B3": F_.MARKET + F_.MECHANICS + F_.QUEUE, "B3_NO_QUEUE": F_.MARKET + F_.MECHANICS}
-EPSILON, LEAST_ROWS, MARGIN = 0.01, 20, 0.1
+LEAST_ROWS, MARGIN = 20, 0.1
 
 
 class Actions:
@@ -105,5 +145,5 @@ def b3_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(found.m, later, policies=tuple(ARMS), choices=found.decided())
 
 
-QUERIES = {"price_model": price_model, "oof_signal": oof_signal, "action_model": lambda s, d: Actions(s, d).decided(), "alpha_trials": alpha_trials, "b3_outcomes": b3_outcomes}
+QUERIES = {"price_model": price_model, "oof_signal": oof_signal, "action_model": lambda s, d: Actions(s, d).decided(), "alpha_trials": alpha_trials, "theta_trials": theta_trials, "b3_outcomes": b3_outcomes}
 ORACLE_SQL: dict[str, str] = {}

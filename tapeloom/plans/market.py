@@ -175,7 +175,7 @@ def _sided(grid: DataFrame) -> DataFrame:
     return grid.withColumn("side", F.explode(F.array(F.lit("B"), F.lit("A")))).withColumn("task_id", F.concat_ws(":", *names))
 
 
-def _worlds(m: Market, grid: DataFrame | None = None, run=W.worlds, scenarios=("L1", "L6"), policies=W.POLICIES, thetas: dict | None = None, statuses: DataFrame | None = None, choices: DataFrame | None = None) -> DataFrame:
+def _worlds(m: Market, grid: DataFrame | None = None, run=W.worlds, scenarios=("L1", "L6"), policies=W.POLICIES, thetas: dict | None = None, statuses: DataFrame | None = None, choices: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
     """Every arrival's two tasks under each policy, in the primary and the slowest scenario."""
     tasks = _sided(m.grid if grid is None else grid).select("task_id", "session_id", "side", "arrival_ns", "deadline_ns")
     times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
@@ -184,7 +184,7 @@ def _worlds(m: Market, grid: DataFrame | None = None, run=W.worlds, scenarios=("
     intervals = m.intervals
     resets = m.batches.filter("kind = 'INITIALIZATION' or has_clear").select("session_id", F.col("proxy_time_ns").alias("t"), F.col("first_ordinal").alias("ordinal"))
     fills = W.resting_fills(m.numbered, m.batches, m.evidence, intervals)
-    return run(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios=scenarios, policies=policies, keep=m.keep, thetas=thetas, signals=m.signals, statuses=statuses, choices=choices)
+    return run(tasks, pick("proxy_time_ns", "last_ordinal"), pick("capture_time_ns"), intervals, fills, resets, scenarios=scenarios, policies=policies, keep=m.keep, thetas=thetas, signals=m.signals if signals is None else signals, statuses=statuses, choices=choices)
 
 
 def _outcomes(m: Market, grid: DataFrame | None = None, **of) -> DataFrame:
