@@ -42,3 +42,23 @@ def test_command_line(capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["nonsense"])
     assert e.value.code == 2
+
+
+def test_settings_split_and_log_are_sealed(spark, tmp_path):
+    split = {"dev": ["a", "b"], "test": ["c"]}
+    made = lambda n, **k: study.run_study(spark, SF, str(tmp_path / n), (("risk_choice", "risk_choice", True),), **k) and tmp_path / n
+    folder = made("one", split=split)
+    study.log_access(str(folder), "test", "opened once more")  # may be added to
+    study.write_report(str(folder))
+    log = (folder / study.LOG).read_text()
+    assert [line.split('"what": ')[1].split('"')[1] for line in log.splitlines()] == ["study", "risk_choice", "test", "report"]
+    for changed in (log.replace("started", "stopped"), log[:10], ""):
+        (folder / study.LOG).write_text(changed)
+        with pytest.raises(ValueError, match="access log"):
+            study.require_complete(str(folder))
+    (folder / study.LOG).write_text(log)
+    (folder / "split.json").write_text("{}")
+    with pytest.raises(ValueError, match="split"):
+        study.require_complete(str(folder))
+    with pytest.raises(ValueError, match="several parts"):
+        made("two", split={"dev": ["a"], "test": ["a"]})
