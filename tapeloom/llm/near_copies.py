@@ -97,31 +97,43 @@ def _may_be_near(x: str, y: str):
     return (OF * least >= NEAR * most) & ring_holds(F.col(f"{x}.fp"), F.col(f"{y}.fp"), MAX_BITS, SEGMENTS)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of texts that are near. ``pairs`` and ``first`` are written; the texts come from
-    ``rows`` (doc_id, h, text), one for each node that is asked for."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(nodes: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, set) of the distinct ``nodes`` (node). ``first`` is written; the texts come from ``rows``
+    (doc_id, h, text), one for each node."""
     wanted = cut(nodes.join(first, "node").select("node", F.col("least.doc_id").alias("d"), F.col("least.h").alias("g")), "wanted")
     texts = rows.join(small_side(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))).select("node", "text")
-    sets = cut(_sets(texts.dropDuplicates(["node"])), "shingles")
+    return cut(_sets(texts.dropDuplicates(["node"])), "shingles")
+
+
+def _are_near(x: str, y: str):
+    """By the shingles themselves."""
+    shared = F.size(F.array_intersect(x, y))
+    return OF * shared >= NEAR * (F.size(x) + F.size(y) - shared)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The written ``pairs`` (a, b) of texts that are near."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets_of(nodes, rows, first)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(OF * shared >= NEAR * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.filter(_are_near("x", "y")).select("a", "b")
 
 
-def _left_over(many: DataFrame, at: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts that may be near, share one of the large buckets ``many`` (band, key, t) and are not
-    connected ``at`` (node, component); each pair in the first band that both share."""
+def _left_over(many: DataFrame, at: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The pairs (a, b) of near texts that share one of the large buckets ``many`` (band, key, t) and are not
+    connected ``at`` (node, component); each pair in the first band that both share. Few texts are left, so they
+    bring their shingles, and the join gives links alone."""
     placed = many.select("band", "key", "t", F.col("t.node").alias("node")).join(at, "node", "left").select("band", "key", "t", "node", F.coalesce("component", "node").alias("c"))
     sizes = cut(placed.groupBy("band", "key", "c").agg(F.count("*").alias("m")), "component-sizes")
     largest = sizes.groupBy("band", "key").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = placed.join(largest, ["band", "key"]).join(first.select("node", "bands"), "node")
-    open_ = cut(open_.select("band", "key", F.struct("t.*", "bands").alias("t"), "c", (F.col("c") != F.col("main")).alias("outside")), "still-open")
+    open_ = cut(placed.join(largest, ["band", "key"]).select("band", "key", "t", "node", "c", (F.col("c") != F.col("main")).alias("outside")), "open-texts")
+    sets = _sets_of(open_.select("node").distinct(), rows, first).join(first.select("node", "bands"), "node")
+    open_ = cut(open_.join(sets, "node").select("band", "key", F.struct("t.*", "bands", "set").alias("t"), "c", "outside"), "still-open")
     x = open_.filter("outside").select("band", "key", F.col("t").alias("x"), F.col("c").alias("cx"))
     y = open_.select("band", "key", F.col("t").alias("y"), F.col("c").alias("cy"), "outside")
     earlier = F.expr("exists(sequence(0, band - 1), i -> x.bands[i] = y.bands[i])")
     once = (~F.col("outside") | (F.col("x.node") < F.col("y.node"))) & ((F.col("band") == 0) | ~earlier)
-    met = x.join(y, ["band", "key"]).filter((F.col("cx") != F.col("cy")) & _may_be_near("x", "y") & once)
+    met = x.join(y, ["band", "key"]).filter((F.col("cx") != F.col("cy")) & _may_be_near("x", "y") & once & _are_near("x.set", "y.set"))
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -161,7 +173,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = x.join(y, ["band", "key"]).filter(((F.col("x.node") < F.col("y.node")) | ~F.col("few")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y"))
     links = _verified(cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pair-candidates"), rows, first)
     so_far = cut(stars.unionByName(links), "links-so-far")
-    rest = _verified(cut(_left_over(many, connected_components(so_far), first), "rest-candidates"), rows, first)
+    rest = cut(_left_over(many, connected_components(so_far), rows, first), "rest-links")
     comps = connected_components(cut(so_far.unionByName(rest), "near-links"))
     linked = comps.join(first, "node").select("node", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("kept"))
