@@ -1,4 +1,4 @@
-"""python -m tapeloom: query, validate, study, report, synth. Exit code 0: well; 1: found something; 2: misused."""
+"""python -m tapeloom: query, validate, tasks, trace, study, report, synth. Exit code 0: well; 1: found something; 2: misused."""
 
 from __future__ import annotations
 
@@ -14,6 +14,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("tables")
     p = sub.add_parser("validate", help="batches, book and invariants of the tape; 1 if any anomaly")
     p.add_argument("tables")
+    p = sub.add_parser("tasks", help="write the task manifest to a new folder")
+    p.add_argument("tables")
+    p.add_argument("out")
+    p = sub.add_parser("trace", help="what a task's worlds decide, send and hear, in order of time; 1 if there is no such task")
+    p.add_argument("tables")
+    p.add_argument("task", help="such as 2024-01-05:3:B")
     p = sub.add_parser("study", help="write a study's tables to a new folder")
     p.add_argument("tables")
     p.add_argument("out")
@@ -47,6 +53,17 @@ def main(argv: list[str] | None = None) -> int:
             print(*r)
         broken = invariants.broken_levels(m.depth()).count()
         return int(broken > 0 or any(r.what != "batch" for r in found))
+    elif args.command == "tasks":
+        from tapeloom import plans
+
+        plans.queries()["task_manifest"](spark, args.tables).write.mode("errorifexists").parquet(args.out)
+    elif args.command == "trace":
+        from tapeloom.plans.orders import trace
+
+        found = trace(spark, args.tables, args.task).collect()  # a few rows of one task
+        for r in found:
+            print(*r)
+        return int(not found)
     elif args.command == "study":
         from tapeloom.study import run_study
 

@@ -90,6 +90,14 @@ def branch_labels(m: Market) -> DataFrame:
     return found.select("task_id", "scenario_id", F.substring_index("task_id", ":", 1).alias("session_id"), action.alias("action"), (F.col("status") == "DEADLINE_MISS").cast("int").alias("miss"), F.col("deadline_cost_ticks").alias("cost"))
 
 
+def trace(spark: SparkSession, sf_dir: str, task_id: str) -> DataFrame:
+    """(policy_id, scenario_id, t, what, detail) of one task, in order of time."""
+    found = _simulated(spark, sf_dir).filter(F.col("task_id") == task_id)
+    row = lambda df, t, what, *detail: df.select("policy_id", "scenario_id", F.col(t).alias("t"), F.lit(what).alias("what"), F.concat_ws(" ", *detail).alias("detail"))
+    rows = row(C.decisions(found), "decision_ns", "decides", "kind", "reason", "choice").unionByName(row(C.commands(found), "send_ns", "sends", "kind", "limit_price")).unionByName(row(C.reports(found), "delivery_ns", "hears", "kind", "reason", "price", "mechanism"))
+    return rows.orderBy("policy_id", "scenario_id", "t", "what")
+
+
 QUERIES = {
     "commands": lambda s, d: C.commands(_simulated(s, d)),
     "reports": lambda s, d: C.reports(_simulated(s, d)),

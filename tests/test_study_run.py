@@ -62,3 +62,14 @@ def test_settings_split_and_log_are_sealed(spark, tmp_path):
         study.require_complete(str(folder))
     with pytest.raises(ValueError, match="several parts"):
         made("two", split={"dev": ["a"], "test": ["a"]})
+
+
+def test_tasks_and_a_trace(spark, tmp_path, capsys, monkeypatch):
+    assert cli.main(["tasks", SF, str(tmp_path / "tasks")]) == 0
+    tasks = spark.read.parquet(str(tmp_path / "tasks")).filter("eligible")
+    assert tasks.count()
+    day, k, _ = tasks.orderBy("task_id").first().task_id.split(":")
+    capsys.readouterr()
+    assert cli.main(["trace", SF, f"{day}:{int(k)}:B"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert any(" sends PASSIVE_LIMIT" in x for x in lines) and any(" decides ARRIVAL" in x for x in lines) and any(" hears " in x for x in lines)
