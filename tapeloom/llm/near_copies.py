@@ -173,8 +173,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     met = x.join(y, ["band", "key"]).filter(((F.col("x.node") < F.col("y.node")) | ~F.col("few")) & (F.col("cx") != F.col("cy")) & _may_be_near("x", "y"))
     links = _verified(cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pair-candidates"), rows, first)
     so_far = cut(stars.unionByName(links), "links-so-far")
-    rest = cut(_left_over(many, connected_components(so_far), rows, first), "rest-links")
-    comps = connected_components(cut(so_far.unionByName(rest), "near-links"))
+    comps = connected_components(so_far)
+    if not many.isEmpty():  # else nothing is left over, and no jobs run for it
+        rest = cut(_left_over(many, comps, rows, first), "rest-links")
+        comps = connected_components(cut(so_far.unionByName(rest), "near-links"))
     linked = comps.join(first, "node").select("node", "component", "least")
     least = linked.groupBy("component").agg(F.min("least").alias("kept"))
     mapped = linked.join(least, "component").select("node", "kept")
