@@ -223,10 +223,12 @@ def choose_alpha(by_session: list[tuple[str, Moments]], grid=ALPHA_GRID) -> floa
 
 def fit_action_by_moments(df: DataFrame, names: list[str], miss: str, cost: str, grid=ALPHA_GRID) -> ActionModel:
     """An action's models: the miss model learns from all rows of ``df`` (session_id, names, miss, cost), the cost
-    model from those with a cost, with the alpha that its last session chooses, refitted on all."""
+    model from those with a cost, with the alpha that its last session chooses, refitted on all. Without such rows
+    nothing is known: both predictions are NaN, which the choice takes for a fallback."""
     found = sorted((k[0], v) for k, v in moments(df, names, cost, ["session_id"]).items())
     if not found:
-        raise ValueError("no rows with a cost to learn from")
+        zeros = [0.0] * len(names)
+        return ActionModel(Scaler(list(names), zeros, zeros), math.nan, zeros, 0.0, zeros, math.nan, grid[0])
     alpha, total = choose_alpha(found, grid), found[0][1]
     for _, own in found[1:]:
         total = total + own

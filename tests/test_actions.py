@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tapeloom.operators import features, flow, models
+from tapeloom.operators import features, flow, models, study
 from tapeloom.operators.asof import asof
 
 
@@ -69,6 +70,14 @@ def test_alpha_is_chosen_on_the_last_session_and_refitted(frame):
     assert model.alpha == best and all(np.isclose(r.v, np.dot(r[:4], w) + bias) and 0 < r.p < 1 for r in got)
 
 
+def test_without_a_cost_to_learn_from_every_checkpoint_falls_back(frame):
+    none = frame.filter("cost is null")  # a row with a miss, none with a cost
+    model, ok = models.fit_action_by_moments(none, NAMES, "miss", "cost"), models.support_rule(none.limit(0), NAMES, 1, 0.1)
+    p, v = model.miss(), model.cost()
+    got = frame.select(study.risk_allowance_choice(p, p, v, v, F.lit(0.01), ok).alias("d")).select("d.choice", "d.reason").distinct().collect()
+    assert [tuple(r) for r in got] == [("SWITCH", "FALLBACK_NONFINITE")]
+
+
 def test_support_and_feature_lists(frame):
     rows = frame.filter("cost is not null").dropna(subset=NAMES)
     ok = models.support_rule(rows, NAMES, 100, 0.1)
