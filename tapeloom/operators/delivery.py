@@ -47,9 +47,8 @@ def client_quotes(numbered: DataFrame, batches: DataFrame, held_ns: Column | Non
     records, own = keep(records), keep(own)
     epochs = keep(book.with_epoch(records, own))
     intervals = book.order_intervals(keep(book.order_state(epochs)), epochs)
-    quotes = book.best_quotes(own, book.level_depth(keep(book.level_changes(intervals)), own, 1))
-    names = own.select("session_id", "batch_id", "market_batch_id", "deliver_ns")
-    return quotes.join(names, ["session_id", "batch_id"]).select("session_id", F.col("batch_id").alias("place"), F.col("market_batch_id").alias("batch_id"), "deliver_ns", "bid_price", "bid_qty", "ask_price", "ask_qty", "mid2")
+    quotes = book.quotes_after(keep(book.level_changes(intervals)), own, "market_batch_id", "deliver_ns")
+    return quotes.select("session_id", F.col("batch_id").alias("place"), F.col("market_batch_id").alias("batch_id"), "deliver_ns", "bid_price", "bid_qty", "ask_price", "ask_qty", "mid2")
 
 
 def plane_gap(market: DataFrame, client: DataFrame) -> DataFrame:

@@ -58,10 +58,9 @@ def queue_orders(m: Market, scenarios=("L1", "L6")) -> DataFrame:
     rows = _sided(m.grid).withColumn("x", each).select(
         "task_id", F.col("x.s").alias("scenario_id"), "session_id", "side", "arrival_ns", "deadline_ns", (F.col("arrival_ns") - F.col("x.d")).alias("seen_ns"), (F.col("arrival_ns") + F.col("x.ce")).alias("expected_ns"),
         F.expr("arrival_ns + (deadline_ns - arrival_ns) div 2").alias("checkpoint_ns"), F.expr("arrival_ns + (deadline_ns - arrival_ns) div 2 - x.d").alias("asked_ns"))
-    times = m.batches.select("session_id", "batch_id", "capture_time_ns", "last_ordinal")
-    quotes = m.quotes.join(times, ["session_id", "batch_id"])
-    client = m.keep(quotes.select("session_id", F.col("capture_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("sent_ordinal"), F.col("proxy_time_ns").alias("sent_ns"), "bid_price", "ask_price"))
-    market = m.keep(quotes.select("session_id", F.col("proxy_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("arrived_ordinal"), F.col("bid_price").alias("m_bid"), F.col("ask_price").alias("m_ask")))
+    quotes = m.timed
+    client = quotes.select("session_id", F.col("capture_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("sent_ordinal"), F.col("proxy_time_ns").alias("sent_ns"), "bid_price", "ask_price")
+    market = quotes.select("session_id", F.col("proxy_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("arrived_ordinal"), F.col("bid_price").alias("m_bid"), F.col("ask_price").alias("m_ask"))
     look = lambda df, plane, at, names: asof(df, plane, ["session_id"], at, "t", "seq", names).drop("sample_time")
     rows = look(rows, client, "seen_ns", ["sent_ordinal", "sent_ns", "bid_price", "ask_price"])
     rows = look(rows, market, "expected_ns", ["arrived_ordinal", "m_bid", "m_ask"])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features, flow, models, study
-from tapeloom.operators.asof import asof
+from tapeloom.operators.asof import asof, thinned
 
 
 def _rows(seed=0, sessions=4, n=60):
@@ -127,3 +127,14 @@ def test_asof_over_ranges_against_a_plain_look_back(spark, skip):
     for width in (100, 1000, 10**6):
         got = {(r.s, r.i): (r.v, r.sample_time) for r in asof(p, q, ["s"], "at", "t", "seq", ["v"], skip, width).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("skip", [None, "v"])
+def test_few_probes_find_the_same_among_the_rows_that_they_can_find(spark, skip):
+    rng = random.Random(3)
+    samples = spark.createDataFrame([(s, rng.randrange(-3000, 9000) // 7 * 7, i, None if rng.random() < 0.3 else i) for s in ("a", "b", "c") for i in range(300)], "s string, t long, seq long, v long")
+    probes = spark.createDataFrame([(s, i, None if i == 3 else rng.randrange(-4000, 20_000)) for s in ("a", "b", "d") for i in range(9)], "s string, i long, at long")
+    for width in (100, 10**6):
+        few = thinned(samples, probes, ["s"], "at", "t", "seq", ["v"], skip, width)
+        found = [{(r.s, r.i): (r.v, r.sample_time) for r in asof(probes, q, ["s"], "at", "t", "seq", ["v"], skip, width).collect()} for q in (samples, few)]
+        assert found[0] == found[1] and (width == 100 or few.count() < samples.count() / 10)

@@ -108,3 +108,13 @@ def test_running_totals_over_ranges(spark):
     df = spark.createDataFrame(rows, "s string, o long, v long")
     got = {(r.s, r.o): r.t for r in ranges.running_total(df, ["s"], "o", "v", "t", width=16).collect()}
     assert got == {(s, o): sum(v for z, p, v in rows if z == s and p < o) for s, o, _ in rows}
+
+
+@pytest.mark.parametrize("segment", [3, 1024])
+def test_one_fold_of_quotes_gives_what_levels_give(spark, monkeypatch, segment):
+    monkeypatch.setattr(book, "SEGMENT", segment)
+    m = Market(spark, "/root/testdata/sf0.001")
+    want = book.best_quotes(m.batches, m.depth(3))
+    got = m.quotes.select(*want.columns)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
