@@ -41,9 +41,10 @@ class Trailing:
 
     def __init__(self, rows: DataFrame, by: list[str], at: str, window: int, ties: str):
         self.names = rows.columns
-        here = rows.withColumns({"_range": bucket_of(at, window), "_key": F.col(at), "_t": F.col(at), "_own": F.lit(True)})
-        later = rows.withColumns({"_range": bucket_of(at, window) + 1, "_key": F.col(at) + window, "_t": F.col(at), "_own": F.lit(False)})
-        self.rows, self.ties = here.unionByName(later), ties
+        # Both are made of one row, as the branches of a union would each work out and hold what ``rows`` come from.
+        place = lambda own: F.struct((bucket_of(at, window) + (0 if own else 1)).alias("_range"), (F.col(at) + F.lit(0 if own else window).cast("long")).alias("_key"), F.lit(own).alias("_own"))
+        twice = rows.withColumn("_place", F.explode(F.array(place(True), place(False))))
+        self.rows, self.ties = twice.select(*rows.columns, "_place.*", F.col(at).alias("_t")), ties
         self.whole = Window.partitionBy(*by, "_range")
         self.upto = self.whole.orderBy("_key").rangeBetween(Window.unboundedPreceding, 0)
         #: In order of time, the range before first.
