@@ -45,8 +45,8 @@ def client_quotes(numbered: DataFrame, batches: DataFrame, held_ns: Column | Non
     prices after each batch, in order of delivery."""
     records, own = renumbered(numbered, keep(delivered_batches(batches, held_ns)))
     records, own = keep(records), keep(own)
-    epochs = keep(book.with_epoch(records, own))
-    intervals = book.order_intervals(keep(book.order_state(epochs)), epochs)
+    epochs = book.with_epoch(records, own, keep)
+    intervals = book.order_intervals(keep(book.order_state(epochs)), epochs, keep)
     quotes = book.quotes_after(keep(book.level_changes(intervals)), own, "market_batch_id", "deliver_ns")
     return quotes.select("session_id", F.col("batch_id").alias("place"), F.col("market_batch_id").alias("batch_id"), "deliver_ns", "bid_price", "bid_qty", "ask_price", "ask_qty", "mid2")
 

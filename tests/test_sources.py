@@ -118,3 +118,29 @@ def test_one_fold_of_quotes_gives_what_levels_give(spark, monkeypatch, segment):
     got = m.quotes.select(*want.columns)
     assert got.schema.simpleString() == want.schema.simpleString()
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
+
+
+def test_marks_upto_each_row(spark):
+    rows = [("a" if k % 3 else "b", 7 * k - 50) for k in range(60)]
+    marks = [r for k, r in enumerate(rows) if k % 5 == 0 or k in (17, 18, 19)]
+    df, held = (spark.createDataFrame(x, "s string, o long") for x in (rows, marks + marks[:3]))
+    for width in (16, 4096):
+        got = {(r.s, r.o): r.n for r in ranges.marks_upto(df, held, ["s"], "o", "n", width).collect()}
+        assert got == {(s, o): sum(z == s and p <= o for z, p in marks) for s, o in rows}
+
+
+def test_records_are_worked_out_once_to_be_numbered(spark):
+    """What is kept is the rows and a small table; before, the totals worked all rows out again."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for p in parts:
+            worked.add(p.num_rows)
+            yield p
+
+    rows = spark.range(3000).selectExpr("'s' || id % 2 as session_id", "id * 1000 as source_ordinal", "if(id % 3 = 0, 128L, 0L) as flags")
+    kept = []
+    numbered = B.number_batches(rows.mapInArrow(count, rows.schema), keep=lambda df: kept.append(df.localCheckpoint()) or kept[-1])
+    assert worked.value == 3000 and [k.count() for k in kept] == [3000, 6]
+    found = {(r.session_id, r.source_ordinal // 1000): r.batch_id for r in numbered.collect()}
+    assert found == {(f"s{k % 2}", k): sum(j % 3 == 0 for j in range(k % 2, k, 2)) for k in range(3000)} and worked.value == 3000
