@@ -144,3 +144,22 @@ def test_records_are_worked_out_once_to_be_numbered(spark):
     assert worked.value == 3000 and [k.count() for k in kept] == [3000, 6]
     found = {(r.session_id, r.source_ordinal // 1000): r.batch_id for r in numbered.collect()}
     assert found == {(f"s{k % 2}", k): sum(j % 3 == 0 for j in range(k % 2, k, 2)) for k in range(3000)} and worked.value == 3000
+
+
+def test_overlapping_windows_meet_by_buckets_near_their_length(spark, monkeypatch):
+    """Against all pairs: windows that touch, long ones, equal starts, equal and turned ones. The query's buckets are no
+    days, in which all windows of a day met."""
+    import random
+
+    from tapeloom.plans import market
+
+    random.seed(5)
+    rows = [(k, k % 2, s, s + random.choice([0, 3, 10, 400, -5])) for k, s in enumerate(random.randrange(-100, 300) for _ in range(120))]
+    windows = spark.createDataFrame(rows, "id long, instrument_id long, start_ns long, end_ns long")
+    want = {(i, a, b) for a, i, s, e in rows for b, j, t, u in rows if i == j and a < b and s <= u and t <= e}
+    for bucket in (7, 1000):
+        got = [tuple(r) for r in B.overlapping_windows(windows, bucket).select("instrument_id", "a_id", "b_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    seen, real = [], B.points_in_intervals
+    monkeypatch.setattr(B, "points_in_intervals", lambda *a: seen.append(a[-1]) or real(*a))
+    assert market.overlaps(spark, "/root/testdata/sf0.001").count() > 0 and seen and max(seen) <= market.HOUR
