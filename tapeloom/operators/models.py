@@ -40,8 +40,24 @@ def fit_scaler(df: DataFrame, names: list[str]) -> Scaler:
     return Scaler(list(names), [row[f"m{k}"] for k in range(len(names))], [row[f"s{k}"] for k in range(len(names))])
 
 
-def _assembled(df: DataFrame, scaler: Scaler, label: Column) -> DataFrame:
-    z = df.select(*(c.alias(f"z{k}") for k, c in enumerate(scaler.columns())), label.cast("double").alias("label"))
+def counted(df: DataFrame, names: list[str], label: str, *by: str) -> DataFrame:
+    """(by, names, label, weight): the distinct rows of ``df`` that have a label, and how many there are of each. A fit
+    over these by weight is the fit over all rows, and has no more of them as rows repeat."""
+    return df.filter(F.col(label).isNotNull()).groupBy(*by, *names, label).agg(F.count("*").cast("double").alias("weight"))
+
+
+def fit_weighted_scaler(df: DataFrame, names: list[str]) -> Scaler:
+    """That of the rows which ``df`` (names, weight) counts."""
+    w = F.col("weight")
+    total = lambda v: F.sum(w * v) / F.sum(F.when(v.isNotNull(), w))
+    mean = df.agg(*(total(F.col(n)).alias(f"m{k}") for k, n in enumerate(names))).first()
+    # A mean of equal values may be off them by rounding, which is no deviation.
+    spread = df.agg(*(F.when(F.min(n) == F.max(n), 0.0).otherwise(F.sqrt(total(F.pow(F.col(n) - F.lit(mean[f"m{k}"]), 2)))).alias(f"s{k}") for k, n in enumerate(names))).first()
+    return Scaler(list(names), [mean[f"m{k}"] for k in range(len(names))], [spread[f"s{k}"] for k in range(len(names))])
+
+
+def _assembled(df: DataFrame, scaler: Scaler, label: Column, *more: str) -> DataFrame:
+    z = df.select(*(c.alias(f"z{k}") for k, c in enumerate(scaler.columns())), label.cast("double").alias("label"), *more)
     return VectorAssembler(inputCols=[f"z{k}" for k in range(len(scaler.names))], outputCol="features", handleInvalid="error").transform(z)
 
 
@@ -85,27 +101,34 @@ class PriceModel:
 
 def fit_price(df: DataFrame, names: list[str], label: str, c: float = 1.0) -> PriceModel:
     """Multinomial regression with penalty 1 / (n C); of two classes, a binomial one."""
-    rows = df.filter(F.col(label).isNotNull())
-    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
-    present, n, scaler = sorted(counts), sum(counts.values()), fit_scaler(rows, names)
+    return fit_price_counted(counted(df, names, label), names, label, c)
+
+
+def fit_price_counted(rows: DataFrame, names: list[str], label: str, c: float = 1.0) -> PriceModel:
+    """``fit_price`` of the rows that ``counted`` tells of."""
+    counts = {int(r[0]): r[1] for r in rows.groupBy(label).agg(F.sum("weight")).collect()}
+    present, n, scaler = sorted(counts), sum(counts.values()), fit_weighted_scaler(rows, names)
     if len(present) < 2:
         return PriceModel(scaler, present or [0], c=c)
     index = F.element_at(F.create_map(*(x for k, v in enumerate(present) for x in (F.lit(v), F.lit(k)))), F.col(label).cast("int"))
-    fit = LogisticRegression(regParam=1 / (n * c), standardization=False, maxIter=200, tol=1e-9, family="multinomial" if len(present) > 2 else "binomial").fit(_assembled(rows, scaler, index))
+    fit = LogisticRegression(regParam=1 / (n * c), standardization=False, maxIter=200, tol=1e-9, family="multinomial" if len(present) > 2 else "binomial", weightCol="weight").fit(_assembled(rows, scaler, index, "weight"))
     if len(present) == 2:
         return PriceModel(scaler, present, [[0.0] * len(names), fit.coefficients.toArray().tolist()], [0.0, fit.intercept], c)
     return PriceModel(scaler, present, fit.coefficientMatrix.toArray().tolist(), fit.interceptVector.toArray().tolist(), c)
 
 
-def log_loss(df: DataFrame, model: PriceModel, label: str) -> float | None:
+def log_loss(rows: DataFrame, model: PriceModel, label: str) -> float | None:
+    """The mean over the rows that ``counted`` tells of."""
     p = model.probabilities()
     chosen = F.when(F.col(label) == -1, p[0]).when(F.col(label) == 0, p[1]).otherwise(p[2])
-    return df.filter(F.col(label).isNotNull()).agg(F.avg(-F.ln(F.greatest(chosen, F.lit(CLIP))))).first()[0]
+    loss = -F.ln(F.greatest(chosen, F.lit(CLIP)))
+    return rows.agg(F.sum(F.col("weight") * loss) / F.sum(F.when(loss.isNotNull(), F.col("weight")))).first()[0]
 
 
-def select_price(train: DataFrame, validation: DataFrame, names: list[str], label: str, grid=C_GRID) -> PriceModel:
-    """The grid's first model of least validation loss."""
-    fits = [fit_price(train, names, label, c) for c in grid]
+def select_price(train: DataFrame, validation: DataFrame, names: list[str], label: str, grid=C_GRID, keep=lambda df: df) -> PriceModel:
+    """The grid's first model of least validation loss. ``keep`` may write what the fits read."""
+    train, validation = (keep(counted(d, names, label)) for d in (train, validation))
+    fits = [fit_price_counted(train, names, label, c) for c in grid]
     losses = [log_loss(validation, m, label) for m in fits]
     return fits[min(range(len(fits)), key=lambda k: math.inf if losses[k] is None else losses[k])]
 
@@ -259,12 +282,13 @@ def fit_ridge(df: DataFrame, scaler: Scaler, target: str, alpha: float) -> tuple
     return fit.coefficients.toArray().tolist(), fit.intercept
 
 
-def forward_chained(df: DataFrame, sessions: list[str], names: list[str], label: str, min_train: int = 1) -> DataFrame:
+def forward_chained(df: DataFrame, sessions: list[str], names: list[str], label: str, min_train: int = 1, keep=lambda df: df) -> DataFrame:
     """Rows of each session scored by a model of the sessions before it: (df.*, signal). The first
-    ``min_train`` sessions have no signal and are left out. Sessions are few; each fit is one job."""
-    out = None
+    ``min_train`` sessions have no signal and are left out. Sessions are few; each fit reads the counts of
+    their distinct rows, which ``keep`` may write."""
+    out, rows = None, keep(counted(df, names, label, "session_id"))
     for k in range(min_train, len(sessions)):
-        model = fit_price(df.filter(F.col("session_id").isin(sessions[:k])), names, label)
+        model = fit_price_counted(rows.filter(F.col("session_id").isin(sessions[:k])), names, label)
         part = df.filter(F.col("session_id") == sessions[k]).withColumn("signal", model.signal())
         out = part if out is None else out.unionByName(part)
     return out

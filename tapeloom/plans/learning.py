@@ -46,10 +46,10 @@ def _split(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
 
 def price_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out sessions scored by the model that validation chose."""
-    rows = _samples(spark, sf_dir)
+    rows = written(_samples(spark, sf_dir))  # read by the split, the fits and the scores
     dev, val, test = _split(rows)
     of = lambda s: rows.filter(F.col("session_id").isin(s))
-    model = M.select_price(of(dev), of(val), FEATURES, "label")
+    model = M.select_price(of(dev), of(val), FEATURES, "label", keep=written)
     down, same, up = model.probabilities()
     return of(test).select("session_id", "batch_id", "label", down.alias("p_down"), same.alias("p_unch"), up.alias("p_up"), model.signal().alias("u"))
 
@@ -58,7 +58,7 @@ def oof_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each development session but the first, scored by a model of all those before."""
     rows = written(_samples(spark, sf_dir))  # read by a fit for each session
     dev, _, _ = _split(rows)
-    return M.forward_chained(rows, dev, FEATURES, "label").select("session_id", "batch_id", "label", "signal")
+    return M.forward_chained(rows, dev, FEATURES, "label", keep=written).select("session_id", "batch_id", "label", "signal")
 
 
 def theta_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def theta_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = m.keep(price_samples(m, tau))
         dev, val, _ = _split(rows)
         of = lambda s: rows.filter(F.col("session_id").isin(s))  # noqa: B023, E731
-        model = M.select_price(of(dev), of(val), FEATURES, "label")
+        model = M.select_price(of(dev), of(val), FEATURES, "label", keep=m.keep)
         signals = of(val).select("session_id", "t", F.col("batch_id").alias("seq"), model.signal().alias("signal"))
         # A task without a reference mid is none to judge.
         at = asof(m.grid.filter(F.col("session_id").isin(val)), m.mids, ["session_id"], "arrival_ns", "t", "seq", ["mid2"], skip_null="mid2")

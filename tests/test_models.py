@@ -66,3 +66,21 @@ def test_sessions_are_scored_by_those_before(spark):
     again = M.forward_chained(changed, ["s0", "s1", "s2", "s3"], NAMES, "y", 2)
     key = lambda d: sorted((r.session_id, r.a, r.signal) for r in d.collect())
     assert key(got) == key(again)
+
+
+def test_fits_over_counts_are_those_over_rows(spark, monkeypatch):
+    """A table of rows that repeat is counted once, and each fit reads as many rows as are distinct; before, each read
+    them all."""
+    df, _, _ = data(spark, (-1, 0, 1))
+    coarse = df.select("session_id", F.round(F.col("a") / 4).alias("a"), F.lit(0.1).alias("b"), "y")
+    many = coarse.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    scaler, plain = M.fit_weighted_scaler(M.counted(many, NAMES, "y"), NAMES), M.fit_scaler(many, NAMES)
+    assert np.allclose(scaler.mean, plain.mean) and np.allclose(scaler.std, plain.std) and scaler.std[1] == 0.0
+    read, real = [], M._assembled
+    monkeypatch.setattr(M, "_assembled", lambda *a: read.append(a[0].count()) or real(*a))
+    few, all_ = M.fit_price(coarse, NAMES, "y", c=40.0), M.fit_price(many, NAMES, "y", c=1.0)
+    assert np.allclose(few.coef, all_.coef, atol=1e-4) and np.allclose(few.bias, all_.bias, atol=1e-4)
+    assert M.log_loss(M.counted(many, NAMES, "y"), all_, "y") == pytest.approx(M.log_loss(M.counted(coarse, NAMES, "y"), all_, "y"))
+    M.forward_chained(many, ["s0", "s1", "s2", "s3"], NAMES, "y", 2)
+    M.select_price(many, many, NAMES, "y", (0.1, 1.0))
+    assert len(read) == 6 and max(read) <= coarse.distinct().count() < many.count() / 40
