@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import BROADCAST_ROWS, cut
+from tapeloom.llm.common import BROADCAST_ROWS, cut, uncompiled
+
+#: Rounds over so few edges are not compiled.
+FEW_EDGES = 200_000
 
 
 def _joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
@@ -41,15 +44,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     loops = e.filter("a = b").select(F.col("a").alias("node"))
     e, seen = e.filter("a > b"), None
     n = e.count()
-    for _ in range(max_rounds if n else 1):
-        # A large star has an edge for each edge, a small one no more than it was given.
-        e = cut(_small_star(_large_star(e, n), n), "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with uncompiled(e.sparkSession, n <= FEW_EDGES):
+        for _ in range(max_rounds if n else 0):
+            # A large star has an edge for each edge, a small one no more than it was given.
+            e = cut(_small_star(_large_star(e, n), n), "stars")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == seen or not now[0]:
+                break
+            seen = now
+        else:
+            if n:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node")).distinct().unionByName(loops).distinct()
     lone = roots.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -9,6 +9,7 @@ a text is scored in time linear in its inputs.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import string
 import zlib
@@ -135,9 +136,16 @@ def fit(rows: list[tuple[str, int | None, int]]) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Machine:
     """A machine from the rows of ``docs`` (doc_id, text, n_chars) that ``labels`` (doc_id, label)
-    names; a bounded sample of them comes to the driver."""
-    rows = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, sample_rows, sample_chars).collect()
-    return fit([(r.text or "", r.n_chars, r.label) for r in rows])
+    names; a bounded sample of them goes to one task, and only the machine comes to the driver."""
+    rows = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, sample_rows, sample_chars)
+    one = rows.select("doc_id", "text", "n_chars", "label").repartition(1).sortWithinPartitions("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(t or "", n, y) for b in batches for t, n, y in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample).state())], pa.binary())], names=["machine"])
+
+    found = text_batches(one).mapInArrow(run, "machine binary").collect()
+    return Machine(*pickle.loads(found[0].machine)) if found else Machine()
 
 
 def score(docs: DataFrame, machine: Machine, output: str = "score") -> DataFrame:

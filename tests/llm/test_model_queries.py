@@ -1,6 +1,7 @@
 """The scores of the queries of the two classifiers, document by document, by their formulas alone."""
 
 import math
+import os
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import quality, toxicity
-from tapeloom.llm.common import held_out
+from tapeloom.llm.common import held_out, labelled_sample, load
 from tapeloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +56,19 @@ def test_every_quality_score_is_the_sum_over_all_pairs(spark, tables):
         z = m.w0 + float(m.w[i] @ x) + float(np.triu(dots, 1).sum())
         own = got[r.doc_id]
         assert math.isclose(own.score, 1 / (1 + math.exp(-z)), rel_tol=1e-3, abs_tol=1e-6) and own.predicted == (own.score >= 0.3)
+
+
+def test_the_machine_is_fitted_in_a_task_as_in_the_driver(spark, monkeypatch):
+    docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = labelled_sample(docs.select("doc_id", "text", "n_chars"), labels, 100, quality.SAMPLE_CHARS).collect()
+    want = quality.fit([(r.text or "", r.n_chars, r.label) for r in rows])
+    driver, fit = os.getpid(), quality.fit
+
+    def elsewhere(rows):
+        assert os.getpid() != driver
+        return fit(rows)
+
+    monkeypatch.setattr(quality, "fit", elsewhere)
+    got = quality.train(docs, labels, 100)
+    assert got.w0 == want.w0 and np.array_equal(got.w, want.w) and np.array_equal(got.v, want.v)
+    assert quality.train(docs.limit(0), labels).edges is None
