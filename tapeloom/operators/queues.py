@@ -32,6 +32,22 @@ def placed_intervals(intervals: DataFrame, numbered: DataFrame, batches: DataFra
     return intervals.join(told, place)
 
 
+def asked_points(orders: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, session_id, side, price_fixed, sent_ns, expected_ns, ask, at, ref): what ``queue_estimates`` asks for."""
+    at = lambda kind, at, ref: F.struct(F.lit(kind).alias("ask"), F.col(at).alias("at"), F.col(ref).alias("ref"))
+    asks = F.explode(F.array(at("FIRST", "sent_ordinal", "sent_ordinal"), at("NOW", "asked_ordinal", "sent_ordinal"), at("TRUE", "now_ordinal", "arrived_ordinal")))
+    points = orders.select(*keys, "session_id", "side", F.col("limit").alias("price_fixed"), "sent_ns", "expected_ns", asks.alias("x"))
+    return points.select("*", "x.*").drop("x").filter("at is not null")
+
+
+def asked_orders(orders: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(session_id, order_id, side, price_fixed): who rests where and when ``queue_estimates`` asks. It needs no interval
+    of others, and ``placed_intervals`` keeps orders apart by these columns."""
+    level = ["session_id", "side", "price_fixed"]
+    points = asked_points(orders, keys).select(*level, "at").distinct()
+    return points_in_intervals(points, intervals.select(*level, "order_id", "ord_from", "ord_to"), level, "at", "ord_from", "ord_to", BUCKET).select("session_id", "order_id", "side", "price_fixed").distinct()
+
+
 def queue_estimates(orders: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, q_ahead_est, q_ahead_upper, q_insertion_uncertain, q_depleted, q_depleted_frac, true_ahead) of
     ``orders`` (keys, session_id, side, limit, sent_ordinal and sent_ns, the last batch delivered when the
@@ -43,9 +59,7 @@ def queue_estimates(orders: DataFrame, placed: DataFrame, keys: list[str]) -> Da
     of them. ``true_ahead`` is the market's quantity that stood before the order arrived. An empty cohort has a
     depleted part of 0.
     """
-    at = lambda kind, at, ref: F.struct(F.lit(kind).alias("ask"), F.col(at).alias("at"), F.col(ref).alias("ref"))
-    asks = F.explode(F.array(at("FIRST", "sent_ordinal", "sent_ordinal"), at("NOW", "asked_ordinal", "sent_ordinal"), at("TRUE", "now_ordinal", "arrived_ordinal")))
-    points = orders.select(*keys, "session_id", "side", F.col("limit").alias("price_fixed"), "sent_ns", "expected_ns", asks.alias("x")).select("*", "x.*").drop("x").filter("at is not null")
+    points = asked_points(orders, keys)
     held = points_in_intervals(points, placed.drop("batch_from", "batch_to"), ["session_id", "side", "price_fixed"], "at", "ord_from", "ord_to", BUCKET)
     cohort = F.col("since") <= F.col("ref")
     entry = lambda c: (F.col(c) > F.col("sent_ns")) & (F.col(c) <= F.col("expected_ns"))

@@ -61,11 +61,13 @@ def queue_orders(m: Market, scenarios=("L1", "L6")) -> DataFrame:
     quotes = m.timed
     client = quotes.select("session_id", F.col("capture_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("sent_ordinal"), F.col("proxy_time_ns").alias("sent_ns"), "bid_price", "ask_price")
     market = quotes.select("session_id", F.col("proxy_time_ns").alias("t"), F.col("batch_id").alias("seq"), F.col("last_ordinal").alias("arrived_ordinal"), F.col("bid_price").alias("m_bid"), F.col("ask_price").alias("m_ask"))
-    look = lambda df, plane, at, names: asof(df, plane, ["session_id"], at, "t", "seq", names).drop("sample_time")
-    rows = look(rows, client, "seen_ns", ["sent_ordinal", "sent_ns", "bid_price", "ask_price"])
-    rows = look(rows, market, "expected_ns", ["arrived_ordinal", "m_bid", "m_ask"])
-    rows = look(rows, client.withColumnRenamed("sent_ordinal", "asked_ordinal"), "asked_ns", ["asked_ordinal"])
-    rows = look(rows, market.withColumnRenamed("arrived_ordinal", "now_ordinal"), "checkpoint_ns", ["now_ordinal"])
+    thin = W.thinner(m.grid, 2 * len(scenarios))
+    rows = m.keep(rows)
+    look = lambda df, plane, at, names: asof(df, thin(plane, rows.select("session_id", at), at, names), ["session_id"], at, "t", "seq", names).drop("sample_time")
+    found = look(rows, client, "seen_ns", ["sent_ordinal", "sent_ns", "bid_price", "ask_price"])
+    found = look(found, market, "expected_ns", ["arrived_ordinal", "m_bid", "m_ask"])
+    found = look(found, client.withColumnRenamed("sent_ordinal", "asked_ordinal"), "asked_ns", ["asked_ordinal"])
+    rows = look(found, market.withColumnRenamed("arrived_ordinal", "now_ordinal"), "checkpoint_ns", ["now_ordinal"])
     buys = F.col("side") == "B"
     rows = rows.withColumn("limit", F.when(buys, F.col("bid_price")).otherwise(F.col("ask_price")))
     takes = F.when(buys, F.col("limit") >= F.col("m_ask")).otherwise(F.col("limit") <= F.col("m_bid"))
@@ -73,8 +75,11 @@ def queue_orders(m: Market, scenarios=("L1", "L6")) -> DataFrame:
 
 
 def estimates(m: Market, orders: DataFrame) -> DataFrame:
-    placed = queues.placed_intervals(m.intervals, m.numbered, m.batches)
-    return queues.queue_estimates(orders, placed, ["task_id", "scenario_id"])
+    keys = ["task_id", "scenario_id"]
+    near = m.keep(queues.asked_orders(orders, m.intervals, keys))
+    of = lambda rows: m.keep(rows.join(near, near.columns, "left_semi"))
+    placed = queues.placed_intervals(of(m.intervals), of(m.numbered.filter("action = 'A'")), m.batches)
+    return queues.queue_estimates(orders, placed, keys)
 
 
 def _queues(m: Market) -> DataFrame:
