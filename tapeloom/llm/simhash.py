@@ -71,17 +71,17 @@ def _segment(fp: Column, i: int, bits: int = SEGMENT_BITS) -> Column:
 
 def ring_holds(a: Column, b: Column, max_bits: int, segments: int) -> Column:
     """Some start has a chain around the whole ring that keeps within its budgets, and the distance is at
-    most ``max_bits``: each that is passes, most others fail at their chains' first segments."""
+    most ``max_bits``. The counts are worked out once and the chains are walked as arrays: written out, all chains
+    are some thousand expressions, which the driver's planner copies again and again."""
     whole, bits = a.bitwiseXOR(b), 64 // segments
-    near = [F.bit_count(_segment(whole, i, bits)) for i in range(segments)]
-    out = F.lit(False)
-    for i in range(segments):
-        ok, total = F.lit(True), F.lit(0)
-        for length in range(1, segments + 1):
-            total = total + near[(i + length - 1) % segments]
-            ok = ok & (total <= max_bits * length // segments)
-        out = out | ok
-    return out & (F.bit_count(whole) <= max_bits)
+    near = F.array(*(F.bit_count(_segment(whole, i, bits)) for i in range(2 * segments)))
+    starts, lengths = F.sequence(F.lit(1), F.lit(segments)), F.sequence(F.lit(1), F.lit(segments))
+
+    def holds(counts: Column) -> Column:
+        total = lambda start, length: F.aggregate(F.slice(counts, start, length), F.lit(0), lambda t, x: t + x)
+        return F.exists(starts, lambda start: F.forall(lengths, lambda length: total(start, length) * segments <= length * max_bits))
+
+    return (F.bit_count(whole) <= max_bits) & F.exists(F.array(near), holds)
 
 
 def _keys(fps: DataFrame) -> DataFrame:
